@@ -66,3 +66,12 @@ def _drop_all() -> None:
             _remove(path, spark)
         except Exception:
             pass
+
+
+def put_shared_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file to the shared folder; returns its place."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()
+    return target.toString()
