@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpair.llm import bitmaps, components, copies, lookalike, weights
+from quillpair.llm import bitmaps, components, copies, encoding, lookalike, neighbours, overlap, weights
+from quillpair.plans.shipping import shipped
 from quillpair.sources.tables import read_table as table
 
 _BOTH = ["question1", "question2"]
@@ -35,6 +36,14 @@ def p2_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return bitmaps.mark_terms(bitmaps.term_frequencies(bitmaps.build_bitmaps(texts, "question1")), texts.count())
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlapping_records(table(spark, sf, "train"), table(spark, sf, "test"), "id", "test_id", ("question1", "question2"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_report(p3_found(spark, sf), table(spark, sf, "test"), "test_id", ["split", "source"])
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "train").filter("is_duplicate = 1").select("qid1", "qid2")
     return components.connected_components(pairs, "qid1", "qid2").select(F.col("component").alias("group_qid"), F.col("node").alias("qid"))
@@ -67,7 +76,15 @@ def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.unify_columns(table(spark, sf, "train").select("id", *_BOTH), _BOTH)
 
 
-QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_pairs(_questions(spark, sf), "qid", "text")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {name: shipped(f) for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 _CANON = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"

@@ -1,0 +1,73 @@
+"""Vantage-point tree over 64-bit fingerprints by Hamming distance."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from quillpair.llm.termsets import radius, within
+
+LEAF = 48
+
+
+def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints."""
+    return np.bitwise_count(np.bitwise_xor(a, b)).astype(np.int64)
+
+
+class VantageTree:
+    """Items are split around a vantage point at the median distance, down to leaves of at most ``LEAF``."""
+
+    def __init__(self, fp: np.ndarray, n: np.ndarray):
+        self.fp, self.n = fp.view(np.uint64), n.astype(np.int64)
+        self.nodes: list[tuple] = []
+        self.root = self._grow(np.arange(len(fp)))
+
+    def _grow(self, items: np.ndarray) -> int:
+        stack: list[tuple[np.ndarray, int, int]] = [(items, -1, 0)]
+        while stack:
+            items, parent, slot = stack.pop()
+            me = len(self.nodes)
+            if parent >= 0:
+                self.nodes[parent][slot] = me
+            distance = bits_between(self.fp[items], self.fp[items[0]]) if len(items) else items
+            cut = int(np.median(distance)) if len(items) else 0
+            inner = distance <= cut
+            if len(items) <= LEAF or inner.all():  # more than LEAF equal distances: one wide leaf
+                if len(items) > LEAF and cut > 0 and (distance < cut).any():
+                    cut -= 1
+                    inner = distance <= cut
+                else:
+                    self.nodes.append([items, None, None, None])
+                    continue
+            self.nodes.append([int(items[0]), cut, None, None])
+            stack.append((items[inner], me, 2))
+            stack.append((items[~inner], me, 3))
+        return 0
+
+    def pairs(self, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(item, query)`` of all items within the bound of each query's and item's sizes."""
+        fp, n = fp.view(np.uint64), n.astype(np.int64)
+        reach = radius(n)
+        items, queries = [], []
+        stack = [(self.root, np.arange(len(fp)))]
+        while stack:
+            node, asked = stack.pop()
+            if not len(asked):
+                continue
+            point, cut, inner, outer = self.nodes[node]
+            if cut is None:
+                step = max(1, 4_000_000 // max(1, len(point)))
+                for a in range(0, len(asked), step):
+                    part = asked[a : a + step]
+                    d = bits_between(self.fp[point][:, None], fp[part][None, :])
+                    i, q = np.nonzero(d <= within(self.n[point][:, None], n[part][None, :]))
+                    items.append(point[i])
+                    queries.append(part[q])
+                continue
+            # the vantage point stays an item of the inner side; triangle inequality on both sides
+            d = bits_between(fp[asked], self.fp[point])
+            stack.append((inner, asked[d - reach[asked] <= cut]))
+            stack.append((outer, asked[d + reach[asked] > cut]))
+        if not items:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(items), np.concatenate(queries)
