@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpair.llm import bitmaps, components, copies, encoding, lookalike, neighbours, overlap, weights
+from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, weights
 from quillpair.plans.shipping import shipped
 from quillpair.sources.tables import read_table as table
 
@@ -84,6 +84,28 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed_shares(p9_mix(spark, sf), table(spark, sf, "source_targets"))
+
+
+def _document_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    common = {r["word"] for r in table(spark, sf, "common_words").select("word").collect()}  # a fixed list
+    return quality.document_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which at least half of the characters are no prose."""
+    return _document_statistics(spark, sf).filter("characters > 0 AND prose <= 0.5").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _document_statistics(spark, sf)
+
+
 QUERIES = {name: shipped(f) for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
