@@ -167,7 +167,7 @@ def near_pairs(texts: DataFrame, key: str, text: str, limit: int = GROUP) -> Dat
     same = members.groupBy("cls").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
     pairs = stage_table(pairs.unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    chosen = stage_table(members.join(wanted, "cls", "left_semi"), "members")
+    chosen = stage_table(members.join(wanted.hint("shuffle_hash"), "cls", "left_semi"), "members")
     drop_table(sets)
     a = chosen.select(F.col("cls").alias("a"), F.col("k").alias("ka"), F.col("canon").alias("ca"))
     b = chosen.select(F.col("cls").alias("b"), F.col("k").alias("kb"), F.col("canon").alias("cb"))

@@ -34,7 +34,7 @@ _COLUMNS = ("key", "cls", "fp", "n", "side")
 
 
 def _searcher(limit: int):
-    """Index of the rows of side 0, which come first; rows of side 1 are streamed through it."""
+    """Index of the evaluation rows, which come first; training rows are streamed through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -52,8 +52,10 @@ def _searcher(limit: int):
 
         docs: tuple = ()
         for batch in batches:
-            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(5)]
-            one = rows[4] == 1
+            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(4)]
+            one = rows[1] >= 0
+            rows[1] = rows[1] & ((1 << 63) - 1)
+            rows.append(one.astype(np.int64))
             if not one.all():
                 held.append([r[~one] for r in rows])
             rows = [r[one] for r in rows]
@@ -83,8 +85,11 @@ def _searcher(limit: int):
 
 def candidate_links(evaluation: DataFrame, training: DataFrame, limit: int = GROUP) -> DataFrame:
     """Distinct ``(a, b)``: evaluation and training sets that share a key and are within the fingerprints' bound."""
-    both = evaluation.unionByName(training).select("key", "cls", "fp", "n", "side", "place")
-    found = both.repartition("key").sortWithinPartitions("side", "cls", "place").mapInArrow(_searcher(limit), "a long, b long, key long, cls long, fp long, n int, side byte")
+    # classes are not negative: with the top bit set for evaluation sets, one long sorts them first
+    low = F.lit(-(1 << 63))
+    mark = F.when(F.col("side") == 0, F.col("cls").bitwiseOR(low)).otherwise(F.col("cls"))
+    both = evaluation.unionByName(training).select("key", mark.alias("cls"), "fp", "n", "place")
+    found = both.repartition("key").sortWithinPartitions("cls", "place").mapInArrow(_searcher(limit), "a long, b long, key long, cls long, fp long, n int, side byte")
     found = stage_table(found, "links")
     pairs = found.filter("a IS NOT NULL").select("a", "b")
     over = found.filter("a IS NULL")
@@ -122,7 +127,7 @@ def overlapping_records(training: DataFrame, evaluation: DataFrame, train_key: s
     links = stage_table(candidate_links(set_keys(e_sets, rank, 0), set_keys(t_sets, rank, 1), limit), "links")
 
     def texts_of(sets: DataFrame, side: str) -> DataFrame:
-        return sets.filter("count IS NULL").select(F.col("cls").alias(side), F.col("canon").alias(f"{side}_canon")).join(links.select(side).distinct(), side, "left_semi").distinct()
+        return sets.filter("count IS NULL").select(F.col("cls").alias(side), F.col("canon").alias(f"{side}_canon")).join(links.select(side).distinct().hint("shuffle_hash"), side, "left_semi").distinct()
 
     # the exact check, on the whole sets of linked questions
     exact = links.join(texts_of(e_sets, "a"), "a").join(texts_of(t_sets, "b"), "b").filter(near(F.col("a_canon"), F.col("b_canon")))
@@ -130,7 +135,7 @@ def overlapping_records(training: DataFrame, evaluation: DataFrame, train_key: s
 
     def records(sets: DataFrame, side: str) -> DataFrame:
         rows = sets.filter("count IS NULL").select("id", "slot", "cls")
-        return _both_questions(rows.join(linked.select(F.col(side).alias("cls")).distinct(), "cls", "left_semi"))
+        return _both_questions(rows.join(linked.select(F.col(side).alias("cls")).distinct().hint("shuffle_hash"), "cls", "left_semi"))
 
     t_rows, e_rows = stage_table(records(t_sets, "b"), "t-rows"), stage_table(records(e_sets, "a"), "e-rows")
     drop_table(t_sets)

@@ -12,7 +12,8 @@ hash, then common ones from the least common.  Of near sets
 
 * sets of at most ``SHORT`` terms share one of the first n - ceil(t n) + 1 terms.  If
   it is uncommon, its own key is shared.  Else two common terms of the first
-  n - ceil(t n) + 2 are shared, and the key of these two is.
+  n - ceil(t n) + 2 are shared, and the key of these two is.  (Three would reach deeper
+  into the common terms, which stand together in texts of one make.)
 * longer sets share at least 0.4 n - 1 of their pairs of neighbouring terms, as a term
   that only one of them has breaks up at most two pairs; hence one of the first
   0.6 n + 1 pairs is shared, and these are the keys.
@@ -43,10 +44,15 @@ _REMEMBERED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _class_of(canon: list[str]) -> np.ndarray:
+    """63-bit hash of each set; equal hashes of different sets are told apart by the exact check."""
+    return (np.array([xxhash.xxh3_64_intdigest(c) for c in canon], np.uint64) >> np.uint64(1)).view(np.int64)
+
+
 def term_sets(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Rows of ``df`` with a usable text: ``keys``, ``cls``, ``canon``; and rows of counts with ``count`` set.
 
-    ``canon`` is the sorted set of terms, ``cls`` its 64-bit hash.  Texts with fewer
+    ``canon`` is the sorted set of terms, ``cls`` its 63-bit hash.  Texts with fewer
     than ``LEAST`` terms are left out.  Count rows, one for each term that is common
     within a partition, have null keys, the term as ``canon`` and null ``cls``; a row
     with null ``canon`` has the number of texts.
@@ -70,7 +76,7 @@ def term_sets(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             if len(seen) > _REMEMBERED:
                 floor = max(2, total * COMMON_SHARE / 2)
                 seen = Counter({w: c for w, c in seen.items() if c >= floor})
-            cls = np.array([xxhash.xxh3_64_intdigest(c) for c in canon], np.uint64).view(np.int64)
+            cls = _class_of(canon)
             index = pa.array(at, pa.int64())
             columns = [batch.column(i).take(index).cast(types[i]) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cls), pa.array(canon, pa.string()), pa.nulls(len(at), pa.int64())], names)
@@ -145,12 +151,13 @@ def _keys_of(canon: list[str], rank: dict[str, int]) -> tuple[np.ndarray, ...]:
     short = size <= SHORT
     sel = np.flatnonzero(short & ~hot & (place < first))
     add(sel, h[sel])
-    reach = short & hot & (place < first + 1)
-    for step in range(1, SHORT):  # pairs of common terms that are `step` places apart
-        sel = np.flatnonzero(reach[:-step] & reach[step:] & (row[:-step] == row[step:])) if step < len(row) else np.empty(0, np.int64)
-        if not len(sel):
+    reach = np.flatnonzero(short & hot & (place < first + 1))
+    owner, hashes = row[reach], h[reach]
+    for step in range(1, SHORT):  # pairs of common terms, which stand together, `step` places apart
+        i = np.flatnonzero(owner[:-step] == owner[step:])
+        if not len(i):
             break
-        add(sel, h[sel] * _MIX + h[sel + step])
+        add(reach[i], hashes[i] * _MIX + hashes[i + step])
     long = size * DEN > NUM * SHORT
     sel = np.flatnonzero(long[:-1] & (row[:-1] == row[1:]) & (DEN * place[:-1] < 2 * (DEN - NUM) * size[:-1] + DEN))
     add(sel, (h[sel] * _MIX + h[sel + 1]) ^ _MIX)
@@ -169,7 +176,7 @@ def set_keys(sets: DataFrame, rank: dict[str, int], side: int = -1) -> DataFrame
             if not canon:
                 continue
             row, place, key, n, fp = _keys_of(canon, shared.value)
-            cls = np.array([xxhash.xxh3_64_intdigest(c) for c in canon], np.uint64).view(np.int64)
+            cls = _class_of(canon)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(cls[row]), pa.array(place.astype(np.int32)), pa.array(n[row].astype(np.int32)), pa.array(fp[row]), pa.array(np.full(len(row), side, np.int8))], names
             )
