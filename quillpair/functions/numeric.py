@@ -19,9 +19,8 @@ def logit(p: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """Of an array; shifted by its maximum."""
-    top = F.array_max(a)
-    raised = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: divide(x, total(raised)))
+    raised = F.zip_with(a, F.array_repeat(F.array_max(a), F.size(a)), lambda x, top: F.exp(x - top))
+    return F.zip_with(raised, F.array_repeat(total(raised), F.size(a)), divide)
 
 
 def entropy(a: Column) -> Column:

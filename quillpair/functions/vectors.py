@@ -66,35 +66,39 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return divide(F.size(F.filter(some, lambda p: p.x != p.y)), F.size(some))
 
 
-def _moment(a: Column, mean: Column, power: int) -> Column:
-    def one(x: Column) -> Column:
-        d = x.cast("double") - mean
-        out = d * d
-        for _ in range(power - 2):
-            out = out * d
-        return out
+def _moments(a: Column, finish) -> Column:
+    """One pass over the array for its sums of powers; ``finish`` gets n and the central moments 2 to 4."""
 
-    return divide(total(F.transform(a, one)), F.size(a))
+    def add(s: Column, x: Column) -> Column:
+        x = x.cast("double")
+        return F.struct((s.n + 1).alias("n"), (s.a + x).alias("a"), (s.b + x * x).alias("b"), (s.c + x * x * x).alias("c"), (s.d + x * x * x * x).alias("d"))
+
+    def end(s: Column) -> Column:
+        m, q, r, t = (divide(k, s.n) for k in (s.a, s.b, s.c, s.d))
+        m2 = q - m * m
+        # what is left of equal values is the rounding of their squares
+        m2 = F.when(m2 > q * 1e-14, m2).otherwise(F.lit(0.0))
+        return finish(m2, r - 3 * m * q + 2 * m * m * m, t - 4 * m * r + 6 * m * m * q - 3 * m * m * m * m)
+
+    start = F.struct(*(F.lit(0.0).alias(k) for k in "nabcd"))
+    return F.coalesce(F.aggregate(a, start, add, end), F.lit(0.0))
 
 
 def skewness(a: Column) -> Column:
     """Of the population; 0 for equal values."""
-    mean = divide(total(a), F.size(a))
-    m2 = _moment(a, mean, 2)
-    return divide(_moment(a, mean, 3), m2 * F.sqrt(m2))
+    return _moments(a, lambda m2, m3, m4: divide(m3, m2 * F.sqrt(m2)))
 
 
 def kurtosis(a: Column) -> Column:
     """Excess kurtosis of the population; 0 for equal values."""
-    mean = divide(total(a), F.size(a))
-    m2 = _moment(a, mean, 2)
-    return F.when(m2 > 0, divide(_moment(a, mean, 4), m2 * m2) - 3).otherwise(F.lit(0.0))
+    return _moments(a, lambda m2, m3, m4: F.when(m2 > 0, divide(m4, m2 * m2) - 3).otherwise(F.lit(0.0)))
 
 
 def unit(a: Column) -> Column:
     """The array scaled to length 1; an array of zeros stays."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: divide(x.cast("double"), norm))
+    # the norm is paired with each item first: inside the outer lambda it would be computed for each
+    norm = F.array_repeat(F.sqrt(dot(a, a)), F.size(a))
+    return F.zip_with(a, norm, lambda x, n: divide(x.cast("double"), n))
 
 
 DISTANCES = {

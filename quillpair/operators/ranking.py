@@ -30,14 +30,14 @@ def _linear(data: DataFrame, **options) -> list[float]:
 
 
 def linear_scores(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Absolute coefficients of least squares, by the standardized solver."""
-    return _table(rows, columns, _linear(assembled(rows, columns, label), standardization=True, regParam=0.0))
+    """Absolute coefficients of least squares; a penalty of 1e-6 keeps collinear features apart."""
+    return _table(rows, columns, _linear(assembled(rows, columns, label), solver="normal", standardization=True, regParam=1e-6))
 
 
 def ridge_scores(rows: DataFrame, columns: list[str], label: str, alpha: float = 2.0) -> DataFrame:
     """Of squares plus ``alpha`` times squared coefficients."""
     data = assembled(rows, columns, label)
-    return _table(rows, columns, _linear(data, elasticNetParam=0.0, regParam=alpha / max(1, data.count()), standardization=False))
+    return _table(rows, columns, _linear(data, solver="normal", elasticNetParam=0.0, regParam=alpha / max(1, data.count()), standardization=False))
 
 
 def lasso_scores(rows: DataFrame, columns: list[str], label: str, alpha: float = 0.05) -> DataFrame:
@@ -62,7 +62,7 @@ def elimination_scores(rows: DataFrame, columns: list[str], label: str, keep: in
     order = []
     known = rows.filter(F.col(label).isNotNull()).persist()
     while len(left) > keep:
-        fit = _linear(assembled(known, left, label), standardization=True, regParam=0.0)
+        fit = _linear(assembled(known, left, label), solver="normal", standardization=True, regParam=1e-6)
         order.append(left.pop(min(range(len(left)), key=lambda i: (fit[i], left[i]))))
     known.unpersist()
     for k, name in enumerate(reversed(order)):
@@ -78,11 +78,11 @@ def forest_scores(rows: DataFrame, columns: list[str], label: str, trees: int =
 
 def boosting_scores(rows: DataFrame, columns: list[str], label: str, key: str, folds: int = 8, rounds: int = 20, seed: int = 1) -> DataFrame:
     """Importances of boosted trees, by gain, averaged over stratified folds."""
-    dealt = stratified_folds(rows.filter(F.col(label).isNotNull()), key, label, folds).select(key, "fold")
-    data = assembled(rows, columns, label).join(dealt, key).persist()
+    dealt = stratified_folds(rows.filter(F.col(label).isNotNull()), key, label, folds).select(F.col(key).alias("_key"), F.col("fold").alias("_fold"))
+    data = assembled(rows, columns, label).join(dealt, F.col(key) == F.col("_key")).persist()
     total = [0.0] * len(columns)
     for k in range(folds):
-        model = GBTClassifier(maxIter=rounds, maxDepth=5, seed=seed).fit(data.filter(F.col("fold") != k))
+        model = GBTClassifier(maxIter=rounds, maxDepth=5, seed=seed).fit(data.filter(F.col("_fold") != k))
         total = [a + b / folds for a, b in zip(total, model.featureImportances.toArray().tolist(), strict=True)]
     data.unpersist()
     return _table(rows, columns, total)

@@ -22,6 +22,7 @@ from quillpair.sources import io
 from quillpair.sources.pairs import all_pairs, question_texts, train_pairs
 from quillpair.sources.shared import shared_dir, stage_table
 from quillpair.sources.tables import read_table as table
+from quillpair.sources.tables import spread
 from quillpair.streaming import views as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,7 +207,7 @@ def ss_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ss_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Edit ratios of characters and of words."""
-    rows = all_pairs(spark, sf).select("split", "id", *(f(F.coalesce(F.col(q), F.lit(""))).alias(n) for f, k in ((grams.characters, "c"), (text.words, "w")) for q, n in (("question1", k + "1"), ("question2", k + "2"))))
+    rows = spread(all_pairs(spark, sf)).select("split", "id", *(f(F.coalesce(F.col(q), F.lit(""))).alias(n) for f, k in ((grams.characters, "c"), (text.words, "w")) for q, n in (("question1", k + "1"), ("question2", k + "2"))))
     out = {f"{k}_{n}": f(F.col(k + "1"), F.col(k + "2")) for k in "cw" for n, f in (("seq", edit.edit_seq_ratio), ("set", edit.edit_set_ratio))}
     return rows.select("split", "id", *(F.round(c, 6).alias(n) for n, c in out.items()))
 
@@ -218,7 +219,7 @@ def ss_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ss_compression(spark: SparkSession, sf: str) -> DataFrame:
-    rows = train_pairs(spark, sf)
+    rows = spread(train_pairs(spark, sf))
     return rows.select("id", F.round(edit.lzma_ratio(F.coalesce("question1", F.lit("")), F.coalesce("question2", F.lit(""))), 6).alias("ratio"))
 
 
@@ -281,7 +282,7 @@ def fe_text_stopword(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fe_text_edits(spark: SparkSession, sf: str) -> DataFrame:
     """All six kinds of grams of the training pairs with both edit ratios: 36 columns."""
-    return features.gram_features(features.with_view(train_pairs(spark, sf), "lemmatized_stemmed"), "lemmatized_stemmed")
+    return features.gram_features(features.with_view(spread(train_pairs(spark, sf)), "lemmatized_stemmed"), "lemmatized_stemmed")
 
 
 @query()
