@@ -20,7 +20,7 @@ def logit(p: Column) -> Column:
 def softmax(a: Column) -> Column:
     """Of an array; shifted by its maximum."""
     raised = F.zip_with(a, F.array_repeat(F.array_max(a), F.size(a)), lambda x, top: F.exp(x - top))
-    return F.zip_with(raised, F.array_repeat(total(raised), F.size(a)), divide)
+    return F.zip_with(raised, F.array_repeat(total(raised), F.size(a)), lambda x, s: divide(x, s))
 
 
 def entropy(a: Column) -> Column:
