@@ -33,7 +33,7 @@ def _out(columns: dict[str, np.ndarray], size: int) -> pa.RecordBatch:
 
 
 def _compare(key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different sets of one key within the fingerprints' bound; of sides 0 and 1 only unlike ones."""
+    """Pairs of sets of one key within the fingerprints' bound; different sets, or sets of sides 0 and 1."""
     start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
     size = np.diff(np.append(start, len(key)))
     left, right = [], []
@@ -55,7 +55,7 @@ def _compare(key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, si
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     i, q = np.concatenate(left), np.concatenate(right)
-    keep = (cls[i] != cls[q]) & ((side[i] < 0) | (side[i] != side[q]))
+    keep = np.where(side[i] < 0, cls[i] != cls[q], side[i] != side[q])  # one set may stand on both sides
     i, q = i[keep], q[keep]
     swap = np.where(side[i] < 0, cls[i] > cls[q], side[i] > side[q])
     a, b = np.where(swap, cls[q], cls[i]), np.where(swap, cls[i], cls[q])

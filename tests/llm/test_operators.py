@@ -1,0 +1,324 @@
+"""Training-data operators against brute force, on tables with nulls, blanks, repeats, ties and long texts."""
+
+import math
+import random
+from collections import Counter
+
+import brute
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, terms, termsets, vptree, weights
+from quillpair.llm.fmindex import BackwardIndex
+from quillpair.llm.lexicon import Lexicon, compile_lexicon
+
+LONG = " ".join(f"word{k % 700}" for k in range(6000))
+NAMES = [f"name{k}" for k in range(40)]
+COMMON = "the of and what is how to in for with best way".split()
+
+
+def questions(n, seed=1, family=4):
+    """Texts in families of near copies, with edge cases."""
+    rng = random.Random(seed)
+    out = [None, "", "   ", "?", "a b", LONG, LONG + " extra", "The THE the", "Ünï çode Ünï", "Δελάνορ слово ναι", "one one two three"]
+    while len(out) < n:
+        base = rng.sample(COMMON, 5) + rng.sample(NAMES, rng.randint(0, 3)) + [f"x{rng.randint(0, 30)}"]
+        for _ in range(rng.randint(1, family)):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = rng.choice(NAMES + COMMON)
+            rng.shuffle(words)
+            out.append(" ".join(words) + rng.choice(["", "?", "!"]))
+    return out[:n]
+
+
+def pair_table(spark, n, seed, first=0, clash=False):
+    qs = questions(n, seed)
+    rng = random.Random(seed)
+    hot = "what is the best way to hot1 hot2"
+    rows = [(first + k, rng.choice(qs + [hot] * (n // 3)), rng.choice(qs)) for k in range(n)]
+    rows += [(first + n, None, None), (first + n + 1, hot, hot), (first + n + 2, rows[5][2], rows[5][1])]
+    frame = spark.createDataFrame(rows, "id long, question1 string, question2 string")
+    if clash:
+        for name in ("term", "d", "key", "cls", "canon", "count", "k", "a", "b", "u", "v", "text", "t0"):
+            frame = frame.withColumn(name, F.lit("x"))
+    return rows, frame
+
+
+def test_terms_match_the_definition():
+    for q in questions(40) + ["İstanbul ΟΔΟΣ", "a̐éö̲ x²½ ٣٤", "don't"]:
+        assert terms.split_terms(q) == brute.terms(q)
+
+
+@pytest.mark.parametrize("kind", ["frequency", "log_entropy"])
+@pytest.mark.parametrize("clash", [False, True])
+def test_distinctive_terms(spark, monkeypatch, kind, clash):
+    monkeypatch.setattr(weights, "COMMON_SHARE", 1 / 20)  # both ways of scoring take part
+    rows, frame = pair_table(spark, 90, 3, clash=clash)
+    counts = {i: Counter(brute.terms(a) + brute.terms(b)) for i, a, b in rows}
+    n = len(rows)
+    held = Counter(t for c in counts.values() for t in c)
+    total = Counter()
+    for c in counts.values():
+        total.update(c)
+    spread = {t: -sum(c[t] / total[t] * math.log(c[t] / total[t]) for c in counts.values() if t in c) for t in total}
+
+    def score(c, t):
+        return round(c * math.log(n / held[t]) if kind == "frequency" else math.log1p(c) * (1 - spread[t] / math.log(n)), 6) + 0.0
+
+    want = {i: min((-score(c, t), t) for t, c in found.items() if held[t] >= 2) for i, found in counts.items() if any(held[t] >= 2 for t in found)}
+    got = {r.id: (r.term, r.score) for r in weights.distinctive_terms(frame, "id", ["question1", "question2"], kind, 2).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][1] + want[i][0]) < 2e-6 for i in got)
+    assert sum(got[i][0] == want[i][1] for i in got) >= len(got) - 1  # rounding may part a tie
+
+
+def test_empty_tables(spark):
+    pairs = spark.createDataFrame([], "id long, question1 string, question2 string")
+    assert weights.distinctive_terms(pairs, "id", ["question1"]).count() == 0
+    assert bitmaps.term_frequencies(bitmaps.build_bitmaps(pairs, "question1")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert copies.collapse_copies(pairs, "id", ["question1", "question2"]).count() == 0
+    assert lookalike.same_looking_pairs(pairs, "id", "question1").count() == 0
+    assert neighbours.near_pairs(pairs, "id", "question1").count() == 0
+    assert overlap.overlapping_records(pairs, pairs.withColumnRenamed("id", "e"), "id", "e", ("question1", "question2")).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([], "source string, target_share double, max_repeats int")
+    assert encoding.encode_texts(docs, "doc_id", "text").count() == 0
+    assert mixing.mix_sources(docs, targets).count() == 0
+    assert quality.document_statistics(docs, "doc_id", "text", set()).count() == 0
+
+
+def test_bitmaps(spark, monkeypatch):
+    texts = [q for q in questions(300, 5)] + ["hot"] * 400 + ["hot hot"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    index = bitmaps.build_bitmaps(frame, "t")
+    got = {r.term: (r.records, r.occurrences) for r in bitmaps.term_frequencies(index).collect()}
+    records, total = Counter(), Counter()
+    for t in texts:
+        records.update(set(brute.terms(t)))
+        total.update(brute.terms(t))
+    assert got == {t: (records[t], total[t]) for t in records}
+    marks = {r.term: r.mark for r in bitmaps.mark_terms(bitmaps.term_frequencies(index), 100).collect()}
+    assert marks["hot"] == "common" and marks["word1"] == "rare" and set(marks.values()) == {"rare", "common", None}
+
+
+def test_containers_of_both_kinds(spark):
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2047, 2048, 9000, bitmaps.CHUNK):
+        positions = np.sort(rng.choice(bitmaps.CHUNK, size, replace=False))
+        packed = bitmaps.pack(positions)
+        assert (bitmaps.unpack(packed) == positions).all()
+        frame = spark.createDataFrame([(bytearray(packed),)], "c binary")
+        assert frame.select(bitmaps.cardinality(F.col("c"))).first()[0] == size
+    one, two = (spark.createDataFrame([("t", 0, bytearray(bitmaps.pack(np.arange(a, b))), 5)], "term string, chunk long, container binary, occurrences long") for a, b in ((0, 1500), (1000, 3000)))
+    merged = bitmaps.merge_bitmaps(one, two)
+    assert bitmaps.term_frequencies(merged).first()[1:] == (3000, 10)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(1000, 1100)]  # a chain
+    edges += [(5000, 5001 + k) for k in range(200)]  # a hub
+    edges += [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)]
+    rng.shuffle(edges)
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges] + edges[:20] + [(7, 7), (None, 3), (4, None)]
+    frame = spark.createDataFrame(edges, "a long, b long").withColumn("u", F.lit(1)).withColumn("m", F.lit(2))
+    got = {(r.component, r.node) for r in components.connected_components(frame, "a", "b").collect()}
+    assert got == brute.groups((a, b) for a, b in edges if a is not None and b is not None)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_copies(spark, partitions):
+    rng = random.Random(4)
+    forms = ["Is it SAFE?", "is it safe", "Is-it  safe!", "IS IT\tSAFE"]
+    rows = [(k, rng.choice(forms), rng.choice(["Why, Bob?", "why bob"])) for k in range(300)]  # one group over many partitions
+    rows += [(1000 + k, f"q{k % 40}", rng.choice(["other", "OTHER."])) for k in range(120)]
+    rows += [(2000 + k, "other", f"Q{k % 40}") for k in range(60)] + [(3000, None, "a"), (3001, "?", "a"), (3002, "", "a"), (3003, LONG, "a"), (3004, LONG.upper(), "A"), (None, "q1", "other")]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "id long, q1 string, q2 string").withColumn("k", F.lit(1)).repartition(3)
+    old, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = copies.collapse_copies(frame, "id", ["q1", "q2"])
+        assert {(r.kept, r.id) for r in got.filter("kept <> id").collect()} == brute.copies([r for r in rows if r[0] is not None])
+        counts = {r.kept: r.copies for r in copies.copy_counts(frame, "id", ["q1", "q2"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert counts[0] == 300 and counts[3003] == 2 and sum(counts.values()) == 300 + 180 + 2
+
+
+def test_lookalikes(spark):
+    same = ["Café ﬁne？ ok", "Café fine? ok", "Cаfé fi​ne? ok", "Ｃａｆé fine? ok﻿", "Саfé fine?　ok"]
+    other = ["café fine? ok", "Cafe fine? ok", "Café fine! ok", "Café  fine? ok", "Café\tfine? ok", "Café fine?\nok", "Café fine? “ok”"]
+    rows = [(k, t) for k, t in enumerate(same + other)] + [(50, None), (51, ""), (52, None), (0, same[0]), (None, same[1]), (60, LONG), (61, LONG + "​")]
+    frame = spark.createDataFrame(rows, "qid long, text string").withColumn("look", F.lit("x")).withColumn("t", F.lit(1))
+    got = {(r.qid_a, r.qid_b) for r in lookalike.same_looking_pairs(frame, "qid", "text").collect()}
+    assert got == {(a, b) for a in range(5) for b in range(a + 1, 5)} | {(60, 61)}
+    both = lookalike.unify_columns(spark.createDataFrame([("Ｓtraße", None, 1), (None, "", 2)], "a string, b string, c int"), ["a", "b"]).collect()
+    assert [tuple(r) for r in both] == [("strasse", None, 1), (None, "", 2)]
+
+
+@pytest.mark.parametrize(("limit", "share"), [(60_000, 1 / 2000), (8, 1 / 50), (8, 1 / 8)])
+def test_near_pairs(spark, monkeypatch, limit, share):
+    """With a small limit groups are cut into shards; with a high share few terms are common."""
+    monkeypatch.setattr(termsets, "COMMON_SHARE", share)
+    texts = questions(260, 9) + [" ".join(sorted(set(brute.terms(LONG)))[:k]) for k in (60, 62, 64, 66, 70, 90, 95)] + [" ".join(COMMON)] * 3
+    rows = [(k, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows + rows[:30] + [(None, "what is the best way")], "qid long, text string").withColumn("k", F.lit(1)).withColumn("cls", F.lit(2)).withColumn("canon", F.lit("c"))
+    got = [(r.qid_a, r.qid_b) for r in neighbours.near_pairs(frame, "qid", "text", limit).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute.p7(dict(rows))
+
+
+def test_vantage_tree_loses_nothing():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 30, dtype=np.int64)
+    fp = np.array([b ^ (1 << int(rng.integers(62))) for b in base for _ in range(20)], np.int64)
+    fp = np.concatenate([fp, np.full(200, fp[0])])  # more equal ones than a leaf holds
+    n = rng.integers(3, 20, len(fp))
+    item, query = vptree.VantageTree(fp, n).pairs(fp, n)
+    close = vptree.bits_between(fp.view(np.uint64)[:, None], fp.view(np.uint64)[None]) <= termsets.within(n[:, None], n[None])
+    assert set(zip(item.tolist(), query.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(close))))
+
+
+def test_fingerprint_bound_holds():
+    rng = random.Random(6)
+    for _ in range(300):
+        m, n, both = rng.randint(3, 40), rng.randint(3, 40), rng.randint(0, 40)
+        both = min(both, m, n)
+        if 10 * both >= 7 * (m + n - both):
+            assert m + n - 2 * both <= termsets.within(np.array([m]), np.array([n]))[0] <= termsets.radius(np.array([m]))[0]
+
+
+def test_backward_index_gives_each_maximal_match_once():
+    rng = np.random.default_rng(7)
+    documents = [rng.integers(0, 5, rng.integers(1, 6)).tolist() for _ in range(30)]
+    owner = np.array([k for k, d in enumerate(documents) for _ in d])
+    index = BackwardIndex(np.array([s for d in documents for s in d]), owner)
+    patterns = [rng.integers(0, 6, rng.integers(1, 6)).tolist() for _ in range(20)]
+    symbols, of = np.array([s for p in patterns for s in p]), np.array([k for k, p in enumerate(patterns) for _ in p])
+    got = Counter((int(p), int(d)) for place, doc, _ in index.matches(symbols, of, block=7) for p, d in zip(place, doc))
+    want = Counter()
+    for p in range(len(symbols)):
+        for k, d in enumerate(documents):
+            for j, s in enumerate(d):
+                if s == symbols[p] and not (p + 1 < len(symbols) and of[p + 1] == of[p] and j + 1 < len(d) and d[j + 1] == symbols[p + 1]):
+                    want[p, k] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize(("limit", "share"), [(20_000, 1 / 2000), (3, 1 / 40)])
+def test_overlapping_records(spark, monkeypatch, limit, share):
+    monkeypatch.setattr(termsets, "COMMON_SHARE", share)
+    train, frame = pair_table(spark, 150, 11, clash=True)
+    test, other = pair_table(spark, 120, 11, first=5000)
+    extra = [(9000 + k, train[k][2], train[k][1]) for k in range(20)] + [(9100, LONG, "one two three four"), (9101, "one two three four", LONG)]
+    other = other.unionByName(spark.createDataFrame(extra, other.schema)).withColumnRenamed("id", "test_id").withColumn("split", F.lit("dev")).withColumn("source", F.lit(None).cast("string"))
+    frame = frame.unionByName(spark.createDataFrame([(700, LONG, "four three two one")], "id long, question1 string, question2 string"), allowMissingColumns=True)
+    got = overlap.overlapping_records(frame, other, "id", "test_id", ("question1", "question2"), limit)
+    found = [(r.id, r.test_id) for r in got.collect()]
+    want = brute.p3(train + [(700, LONG, "four three two one")], test + extra)
+    assert len(found) == len(set(found)) and set(found) == want and want
+    report = overlap.overlap_report(got, other, "test_id", ["split", "source"]).first()
+    assert report["matched_pairs"] == len(want) and report["overlapping"] == len({t for _, t in want})
+
+
+def test_lexicon():
+    words = {b"a": [1], b"ab": [2, 3], b"abc": [4], b"xbc": [5], b"zbc": [], "é".encode(): [6]}
+    lexicon = Lexicon(compile_lexicon(words))
+    number = lexicon.numbers([*words, b"", b"b", b"abcd", b"x"])
+    assert [lexicon.ids_of(n) for n in number[: len(words)].tolist()] == list(words.values()) and (number[len(words) :] == -1).all()
+    many = {f"{a}{b}ing".encode(): [k] for k, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "stuvw")}
+    compiled = Lexicon(compile_lexicon(many))
+    assert len(compiled.final) < 10 and sorted(compiled.numbers(list(many)).tolist()) == list(range(len(many)))
+    assert (Lexicon(compile_lexicon({})).numbers([b"a"]) == -1).all()
+
+
+def test_encoding_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = questions(60) + ["<|endoftext|> x", "  two  blanks \n\n", "é̂ 👩‍🔧", "a" * 3000, "　", "don't I'll  'S"]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, "null key")], "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = {r.doc_id: list(r.ids) for r in encoding.encode_texts(frame, "doc_id", "text", extra=["some frequent words"]).collect()}
+    library = Tokenizer.from_file(f"{encoding.TOKENIZERS}/byte_bpe_50k.json")
+    library.encode_special_tokens = True
+    want = {k: library.encode(t or "", add_special_tokens=False).ids for k, t in [*enumerate(texts), (None, "null key")]}
+    assert got == want and got[0] == got[1] == []
+    sizes = {r.doc_id: r.tokens for r in encoding.count_tokens(frame.drop("ids"), "text").collect()}
+    assert sizes == {k: len(v) for k, v in want.items()}
+
+
+def test_routes_meet_quotas_and_prefer_first_uses():
+    total, flows = mixing.route_tokens({1: 100, 2: 10, 3: 50}, [0.5, 0.5], [1, 3])
+    taken = [sum(v for (_, _, s), v in flows.items() if s == k) for k in (0, 1)]
+    assert taken == [total // 2] * 2 and total >= 100
+    for (p, r, s), _ in flows.items():
+        assert p >> s & 1 and r <= [1, 3][s]
+    used = Counter()
+    for (p, r, _), v in flows.items():
+        used[p, r] += v
+    assert all(v <= {1: 100, 2: 10, 3: 50}[p] for (p, _), v in used.items())
+    assert all(used[p, r] >= used[p, r + 1] for p in (1, 2, 3) for r in (1, 2))
+    assert mixing.route_tokens({}, [1.0], [1]) == (0, {}) and mixing.route_tokens({1: 5}, [0.0], [1]) == (0, {})
+    assert mixing.route_tokens({1: 100}, [1.0], [4])[0] == 400 and mixing.route_tokens({1: 100}, [1.0], [4], total=30)[0] == 30
+
+
+def test_mixing(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choice(NAMES) for _ in range(rng.randint(5, 60))), rng.choice(["web", "web", "web", "book", "none", None])) for k in range(600)]
+    docs += [(1000 + k, docs[k][1], "book") for k in range(40)] + [(2000, None, "web"), (2001, "", "web"), (None, "x y", "web")]
+    targets = spark.createDataFrame([("web", 0.5, 1), ("book", 0.4, 3), ("radio", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("tokens", F.lit(1)).withColumn("pattern", F.lit(1))
+    mix = mixing.mix_sources(frame, targets).cache()
+    limit = {"web": 1, "book": 3}
+    first = {}
+    for k, t, s in docs:
+        if k is not None and t and s in limit:
+            first.setdefault(t, [k, set()])[1].add(s)
+    of = {k: s for k, s in first.values()}
+    uses = Counter()
+    for r in mix.collect():
+        assert r.source in of[r.doc_id] and r.uses <= limit[r.source]
+        uses[r.doc_id] += r.uses
+    assert max(uses.values()) <= 3
+    share = {r.source: r.actual_share for r in mixing.mixed_shares(mix, targets).collect()}
+    assert share["radio"] == 0 and share["web"] == pytest.approx(5 / 9, abs=0.02) and share["book"] == pytest.approx(4 / 9, abs=0.02)
+    assert mix.exceptAll(mixing.mix_sources(frame, targets)).count() == 0
+
+
+def test_quality_of_held_out_examples(spark):
+    """Documents put together from parts that are no examples of the operator."""
+    common = set("the a of and to in is it that for on with as was be this have not but or they you we can will would if when all so more than about had were der die das und ist in zu nicht mit auf".split())
+    rng = random.Random(9)
+    nouns, names = "anchor basket copper drawer falcon garden hammer island jacket kernel ladder magnet".split(), ["Borvik", "Melden", "Sorina", "Tavel", "Quorin"]
+    sentence = lambda: f"The {rng.choice(nouns)} that {rng.choice(names)} had in the {rng.choice(nouns)} was not as old as they would have it, but we can still see it on the {rng.choice(nouns)}."
+    prose = lambda: " ".join(sentence() for _ in range(6))
+    wrapped = lambda: "\n".join(__import__("textwrap").wrap(prose(), 60))
+    listing = lambda: "\n".join(f"{k + 1}. {rng.choice(names)} {rng.choice(nouns)}" for k in range(25))
+    bars = lambda: "\n".join("| " + " | ".join(rng.choice([rng.choice(names), f"{rng.random():.3f}", str(rng.randint(1, 9999))]) for _ in range(4)) + " |" for _ in range(20))
+    noise = lambda: " ".join("".join(rng.choice("#$%^&*@+=<>|") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    kinds = [(prose, 0), (wrapped, 0), (lambda: prose().lower().replace(".", ""), 0), (listing, 1), (bars, 1), (noise, 1), (lambda: sentence() + "\n\n" + listing(), 1), (lambda: prose() + "\n\n" + "- " + rng.choice(nouns), 0)]
+    made = [(k, *kinds[k % len(kinds)]) for k in range(160)]
+    docs = [(k, f(), bad) for k, f, bad in made]
+    frame = spark.createDataFrame([(k, t) for k, t, _ in docs] + [(900, None), (901, ""), (902, " \n\t "), (None, "x"), (903, "x" * 30_000), (0, docs[0][1])], "doc_id long, text string").withColumn("words", F.lit(1))
+    got = quality.document_statistics(frame, "doc_id", "text", common).toPandas()
+    assert len(got) == len(docs) + 6
+    share = got.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id")
+    wrong = [(k, bad) for k, _, bad in docs if (share.loc[k, "prose"] <= 0.5) != bool(bad)]
+    assert len(wrong) <= 4, wrong
+    blank = share.loc[[900, 901, 902]]
+    assert (blank["characters"] == 0).all() and blank["prose"].isna().all()
+    row = quality.document_statistics(spark.createDataFrame([(1, "The cat sat.\n- $$$$")], "doc_id long, text string"), "doc_id", "text", common).first()
+    assert (row.characters, row.words, row.mean_word_length, row.ended_ratio) == (15, 3, 3.0, 0.5) and row.symbol_ratio == pytest.approx(6 / 15, abs=1e-6)
+
+
+def test_found_is_the_same_on_every_run(spark):
+    frame = spark.createDataFrame([(k, f"The line {k} of it is here, and so it was.\n- a\n- b") for k in range(50)], "doc_id long, text string")
+    one, two = (quality.document_statistics(f, "doc_id", "text", {"the", "of", "it", "is", "and"}).toPandas().sort_values("doc_id", ignore_index=True) for f in (frame, frame.repartition(5)))
+    pd.testing.assert_frame_equal(one, two)

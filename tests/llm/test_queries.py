@@ -1,0 +1,52 @@
+"""The pN_ queries on the smallest tables, against SQL and brute force."""
+
+import brute
+import duckdb
+import pytest
+
+from quillpair.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(small_dir):
+    from pathlib import Path
+
+    con = duckdb.connect()
+    for path in Path(small_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+def rows_of(frame):
+    columns = sorted(frame.columns)
+    return sorted(map(tuple, frame.select(*columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_twin(spark, small_dir, duck, name):
+    got = QUERIES[name](spark, small_dir)
+    want = duck.execute(f"SELECT {', '.join(sorted(got.columns))} FROM ({ORACLE_SQL[name]})").fetchall()
+    got = rows_of(got)
+    want = sorted(map(tuple, want), key=str)
+    if name == "p1_log_entropy":
+        got, want = ([r[:3] + r[4:] for r in rows] for rows in (got, want))  # the score's last digit may differ
+    assert got == want
+
+
+def test_found_by_brute_force(spark, small_dir, duck):
+    train = duck.execute("SELECT id, question1, question2 FROM train").fetchall()
+    test = duck.execute("SELECT test_id, question1, question2 FROM test").fetchall()
+    texts = dict(duck.execute("SELECT qid1, question1 FROM train UNION SELECT qid2, question2 FROM train").fetchall())
+    assert {tuple(r) for r in QUERIES["p3_found"](spark, small_dir).collect()} == brute.p3(train, test)
+    assert {tuple(r) for r in QUERIES["p7_found"](spark, small_dir).collect()} == brute.p7({k: t for k, t in texts.items() if t})
+
+
+def test_every_document_has_ids(spark, small_dir, duck):
+    ids = {r.doc_id: r.ids for r in QUERIES["p8_ids"](spark, small_dir).collect()}
+    docs = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert ids.keys() == docs.keys() and all((ids[k] == []) == (not t) for k, t in docs.items())
+
+
+@pytest.mark.parametrize("name", ["p3_report", "p6_found", "p6_unified", "p9_mix", "p9_shares", "p10_found", "p10_statistics"])
+def test_runs(spark, small_dir, name):
+    assert QUERIES[name](spark, small_dir).count() > 0
