@@ -25,15 +25,18 @@ def value_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(token, n, token_id)``: from 2 by falling count, then token; 0 is unknown, 1 padding.
 
-    Places come from the counts of tokens with more occurrences and a rank within one
-    count, so no single task ranks the whole vocabulary unless all counts are equal.
+    A place is the tokens with more occurrences, those of the same count with an earlier
+    beginning, and the rank among tokens of one count and beginning.  So no task ranks
+    the vocabulary, or the many tokens that occur once.
     """
-    counts = token_counts(texts, column, lower=False)
-    sizes = counts.groupBy("n").agg(F.count("*").alias("size"))
-    # a row for each distinct count: few
-    before = sizes.select("n", (F.sum("size").over(Window.orderBy(F.desc("n"))) - F.col("size")).alias("before"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("token")))
-    return ranked.join(before, "n").select("token", "n", (F.col("before") + F.col("r") + 1).alias("token_id"))
+    counts = token_counts(texts, column, lower=False).withColumn("head", F.substring("token", 1, 3))
+    sizes = counts.groupBy("n", "head").agg(F.count("*").alias("size"))
+    by_count = sizes.groupBy("n").agg(F.sum("size").alias("size"))  # a row for each distinct count
+    more = by_count.select("n", (F.sum("size").over(Window.orderBy(F.desc("n"))) - F.col("size")).alias("more"))
+    earlier = sizes.select("n", "head", (F.sum("size").over(Window.partitionBy("n").orderBy("head")) - F.col("size")).alias("earlier"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("n", "head").orderBy("token")))
+    placed = ranked.join(earlier, ["n", "head"]).join(more, "n")
+    return placed.select("token", "n", (F.col("more") + F.col("earlier") + F.col("r") + 1).alias("token_id"))
 
 
 def numerize(texts: DataFrame, key: list[str], column: str, vocab: DataFrame, pad_to: int | None = None) -> DataFrame:

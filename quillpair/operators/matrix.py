@@ -12,8 +12,14 @@ from quillpair.functions.similarity import divide
 
 
 def side_by_side(tables: list[DataFrame], keys: list[str]) -> DataFrame:
-    """All tables' columns for each key in any of them; missing values are null."""
-    return reduce(lambda a, b: a.join(b, keys, "full"), tables)
+    """All tables' columns for each key in any of them; missing values are null.
+
+    Keys are unique in each table and column names differ between tables.  The tables
+    are stacked and gathered by key in one aggregation, so any number of them costs one
+    shuffle; a chain of outer joins would shuffle for each.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return stacked.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in stacked.columns if c not in keys))
 
 
 def below_each_other(tables: list[DataFrame]) -> DataFrame:
@@ -69,8 +75,8 @@ def stratified_folds(rows: DataFrame, key: str, label: str, folds: int = 8) -> D
     The order within a label is taken by hash ranges, counted first, so no task orders
     all rows of a label.
     """
-    h = rows.select(key, label, F.md5(F.col(key).cast("string")).alias("h")).withColumn("range", F.substring("h", 1, 3))
-    counts = h.groupBy(label, "range").agg(F.count("*").alias("n"))  # at most 4096 rows a label
+    h = rows.select(key, label, F.md5(F.col(key).cast("string")).alias("h")).withColumn("range", F.substring("h", 1, 4))
+    counts = h.groupBy(label, "range").agg(F.count("*").alias("n"))  # at most 65,536 rows a label
     before = counts.select(label, "range", (F.sum("n").over(Window.partitionBy(label).orderBy("range")) - F.col("n")).alias("before"))
     ranked = h.withColumn("r", F.row_number().over(Window.partitionBy(label, "range").orderBy("h", key)) - 1)
     joined = ranked.alias("x").join(before.alias("y"), (F.col(f"x.{label}").eqNullSafe(F.col(f"y.{label}"))) & (F.col("x.range") == F.col("y.range")))

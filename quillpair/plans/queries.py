@@ -90,6 +90,23 @@ def io_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.sqrt(vec.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
 
 
+@query("SELECT id, question1, is_duplicate FROM train")
+def io_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as parquet and read again, three columns of six."""
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    io.write_matrix(io_scan(spark, sf), path)
+    return io.read_matrix(spark, path, ["id", "question1", "is_duplicate"])
+
+
+@query("SELECT test_id, is_duplicate FROM submission WHERE is_duplicate IS NOT NULL AND NOT isnan(is_duplicate)")
+def io_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as JSON lines and read again."""
+    rows = table(spark, sf, "submission").filter(F.col("is_duplicate").isNotNull() & ~F.isnan("is_duplicate"))
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    io.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query()
 def io_discover(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in io.discover(spark, sf)], "name string")
@@ -191,6 +208,16 @@ def ng_skipped(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("split", "id", F.array_join(grams.bigrams(F.col("w"), skip=1), " ").alias("skipped"))
 
 
+@query(
+    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w FROM pairs)
+SELECT split, id, len(list_distinct(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])))::INT AS word_pairs FROM w"""
+)
+def ng_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct pairs of neighbouring words of the first question."""
+    rows = all_pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
+    return rows.select("split", "id", F.size(grams.word_pairs(F.col("w"))).alias("word_pairs"))
+
+
 # similarities
 
 
@@ -656,6 +683,20 @@ def ml_network(spark: SparkSession, sf: str) -> DataFrame:
     return models.evaluate(models.out_of_fold(rows, "id", _inputs(rows), "is_duplicate", "fold", "network"), "fold")
 
 
+@query()
+def ml_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Network over the matched sentence vectors of each pair, without and with the three leak features."""
+    pairs, rows = all_pairs(spark, sf), _model_rows(spark, sf)
+    head = embed.matching_head(pairs.filter("split = 'train'"), _word_vectors(spark, sf), 64).drop("split")
+    data = stage_table(rows.join(head, "id"), "matching")
+    inputs = [c for c in head.columns if c != "id"]
+    out = []
+    for name, columns in (("plain", inputs), ("leak", [*inputs, "magic_max_freq", "magic_min_freq", "magic_intersect"])):
+        predicted = models.out_of_fold(data, "id", columns, "is_duplicate", "fold", "network", {"maxIter": 15, "hidden": [16]})
+        out.append(models.evaluate(predicted, "fold").withColumn("inputs", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 @query()
 def ml_bagged(spark: SparkSession, sf: str) -> DataFrame:
     """Mean over folds' models for the rows of fold 0, which they treat as new rows."""

@@ -73,3 +73,13 @@ def choose(given: str, allowed: list[str]) -> list[str]:
 def metric_name(prefix: str, mean: float, std: float) -> str:
     """File name that bears the loss of its content."""
     return f"{prefix}_{mean:f}_{std:f}"
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model, with its configuration."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind, path: str):
+    """The model saved at ``path``; ``kind`` is its class."""
+    return kind.load(path)
