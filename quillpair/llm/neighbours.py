@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpair.llm.termsets import common_terms, near, set_keys, term_sets, within
-from quillpair.llm.vptree import VantageTree, bits_between
+from quillpair.llm.termsets import common_terms, near, radius, set_keys, term_sets, within
+from quillpair.llm.vptree import VantageTree
 from quillpair.sources.shared import drop_table, stage_table
 
 #: Sets up to which a group is swept, and compared within one task.
@@ -38,12 +38,15 @@ def _compare(key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, si
     size = np.diff(np.append(start, len(key)))
     left, right = [], []
     swept = np.repeat(size <= SWEPT, size)
-    u = fp.view(np.uint64)
+    u, reach = fp.view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
     for step in range(1, SWEPT):
         i = np.flatnonzero(swept[:-step] & (key[:-step] == key[step:])) if step < len(key) else np.empty(0, np.int64)
         if not len(i):
             break
-        i = i[bits_between(u[i], u[i + step]) <= within(n[i], n[i + step])]
+        bits = np.bitwise_count(u[i] ^ u[i + step])
+        some = np.flatnonzero(bits <= reach[i])
+        i, bits = i[some], bits[some]
+        i = i[bits <= within(n[i], n[i + step])]
         left.append(i)
         right.append(i + step)
     for s, z in zip(start[size > SWEPT].tolist(), size[size > SWEPT].tolist(), strict=True):

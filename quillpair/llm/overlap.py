@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from quillpair.llm.fmindex import BackwardIndex
 from quillpair.llm.neighbours import _out, _scan, _shards
-from quillpair.llm.termsets import common_terms, near, set_keys, term_sets, within
-from quillpair.llm.vptree import bits_between
+from quillpair.llm.termsets import common_terms, near, radius, set_keys, term_sets, within
 from quillpair.sources.shared import drop_table, stage_table
 
 #: Evaluation questions of one key up to which a shard searches it by itself.
@@ -74,8 +73,12 @@ def _searcher(limit: int):
                     yield _out(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
                 rows = [r[~wide] for r in rows]
             key, cls, fp, n, _ = rows
+            mine, theirs, reach = fp.view(np.uint64), docs[1].view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
             for place, document, _ in index.matches(key, cls):
-                close = bits_between(fp[place].view(np.uint64), docs[1][document].view(np.uint64)) <= within(n[place], docs[2][document])
+                bits = np.bitwise_count(mine[place] ^ theirs[document])
+                some = np.flatnonzero(bits <= reach[place])  # few are left for the exact bound
+                place, document = place[some], document[some]
+                close = bits[some] <= within(n[place], docs[2][document])
                 pair = np.unique(np.stack([docs[0][document[close]], cls[place[close]]]), axis=1)
                 if pair.shape[1]:
                     yield _out({"a": pair[0], "b": pair[1]}, pair.shape[1])

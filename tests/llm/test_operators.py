@@ -168,7 +168,7 @@ def test_lookalikes(spark):
 def test_near_pairs(spark, monkeypatch, limit, share):
     """With a small limit groups are cut into shards; with a high share few terms are common."""
     monkeypatch.setattr(termsets, "COMMON_SHARE", share)
-    texts = questions(260, 9) + [" ".join(sorted(set(brute.terms(LONG)))[:k]) for k in (60, 62, 64, 66, 70, 90, 95)] + [" ".join(COMMON)] * 3
+    texts = questions(260, 9) + [" ".join(sorted(set(brute.terms(LONG)))[:k]) for k in (60, 62, 64, 66, 70, 90, 95, 520, 690)] + [" ".join(COMMON)] * 3
     rows = [(k, t) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows + rows[:30] + [(None, "what is the best way")], "qid long, text string").withColumn("k", F.lit(1)).withColumn("cls", F.lit(2)).withColumn("canon", F.lit("c"))
     got = [(r.qid_a, r.qid_b) for r in neighbours.near_pairs(frame, "qid", "text", limit).collect()]
