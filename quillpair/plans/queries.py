@@ -41,6 +41,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs, dealt out for queries whose work is by row."""
+    return spread(all_pairs(spark, sf))
+
+
 def _both(rows: DataFrame, change) -> DataFrame:
     """Keys and both questions, changed."""
     return rows.select("split", "id", *(change(F.col(q)).alias(q) for q in ("question1", "question2")))
@@ -117,37 +122,37 @@ def io_discover(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_both_sql(S.lower_text))
 def tx_lower(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.lower_text)
+    return _both(_pairs(spark, sf), text.lower_text)
 
 
 @query(_both_sql(lambda x: S.special(S.lower_text(x))))
 def tx_special(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), lambda c: text.replace_special(text.lower_text(c)))
+    return _both(_pairs(spark, sf), lambda c: text.replace_special(text.lower_text(c)))
 
 
 @query(_both_sql(S.punctuation))
 def tx_punctuation(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.remove_punctuation)
+    return _both(_pairs(spark, sf), text.remove_punctuation)
 
 
 @query(_both_sql(S.base_view))
 def tx_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.view("tokenize"))
+    return _both(_pairs(spark, sf), text.view("tokenize"))
 
 
 @query(_both_sql(S.stop_view))
 def tx_stopword(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.view("stopword"))
+    return _both(_pairs(spark, sf), text.view("stopword"))
 
 
 @query()
 def tx_lemmatized(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.view("lemmatized"))
+    return _both(_pairs(spark, sf), text.view("lemmatized"))
 
 
 @query()
 def tx_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(all_pairs(spark, sf), text.view("lemmatized_stemmed"))
+    return _both(_pairs(spark, sf), text.view("lemmatized_stemmed"))
 
 
 @query(f"WITH {S.PAIRS}, {S.TEXTS} SELECT text, count(*) AS rows FROM texts GROUP BY text")
@@ -185,7 +190,7 @@ def tx_corrected(spark: SparkSession, sf: str) -> DataFrame:
 SELECT split, id, array_to_string({S.bigrams("w")}, ' ') AS bigrams, array_to_string({S.trigrams("w")}, ' ') AS trigrams FROM w"""
 )
 def ng_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = all_pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
+    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
     return rows.select("split", "id", F.array_join(grams.bigrams(F.col("w")), " ").alias("bigrams"), F.array_join(grams.trigrams(F.col("w")), " ").alias("trigrams"))
 
 
@@ -194,7 +199,7 @@ def ng_words(spark: SparkSession, sf: str) -> DataFrame:
 SELECT split, id, len(w)::INT AS unigrams, array_to_string({S.bigrams("w")}, ' ') AS bigrams, array_to_string({S.trigrams("w")}, ' ') AS trigrams FROM w"""
 )
 def ng_characters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = all_pairs(spark, sf).select("split", "id", grams.characters(F.col("question1")).alias("w"))
+    rows = _pairs(spark, sf).select("split", "id", grams.characters(F.col("question1")).alias("w"))
     return rows.select("split", "id", F.size("w").alias("unigrams"), F.array_join(grams.bigrams(F.col("w")), " ").alias("bigrams"), F.array_join(grams.trigrams(F.col("w")), " ").alias("trigrams"))
 
 
@@ -204,7 +209,7 @@ SELECT split, id, array_to_string(CASE WHEN len(w) > 1 THEN flatten(list_transfo
 )
 def ng_skipped(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of words next to each other or with one word between."""
-    rows = all_pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
+    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
     return rows.select("split", "id", F.array_join(grams.bigrams(F.col("w"), skip=1), " ").alias("skipped"))
 
 
@@ -214,7 +219,7 @@ SELECT split, id, len(list_distinct(list_transform(range(1, len(w)), lambda i: [
 )
 def ng_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct pairs of neighbouring words of the first question."""
-    rows = all_pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
+    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
     return rows.select("split", "id", F.size(grams.word_pairs(F.col("w"))).alias("word_pairs"))
 
 
@@ -227,21 +232,21 @@ SELECT split, id, round({S.dice("a", "b")}, 6) AS dice, round({S.jaccard("a", "b
 )
 def ss_sets(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    rows = all_pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("a"), text.words(F.col("question2")).alias("b"))
+    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("a"), text.words(F.col("question2")).alias("b"))
     return rows.select("split", "id", F.round(sim.dice_ratio(a, b), 6).alias("dice"), F.round(sim.jaccard_ratio(a, b), 6).alias("jaccard"), F.round(sim.equal_places(a, b), 6).alias("places"))
 
 
 @query()
 def ss_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Edit ratios of characters and of words."""
-    rows = spread(all_pairs(spark, sf)).select("split", "id", *(f(F.coalesce(F.col(q), F.lit(""))).alias(n) for f, k in ((grams.characters, "c"), (text.words, "w")) for q, n in (("question1", k + "1"), ("question2", k + "2"))))
+    rows = _pairs(spark, sf).select("split", "id", *(f(F.coalesce(F.col(q), F.lit(""))).alias(n) for f, k in ((grams.characters, "c"), (text.words, "w")) for q, n in (("question1", k + "1"), ("question2", k + "2"))))
     out = {f"{k}_{n}": f(F.col(k + "1"), F.col(k + "2")) for k in "cw" for n, f in (("seq", edit.edit_seq_ratio), ("set", edit.edit_set_ratio))}
     return rows.select("split", "id", *(F.round(c, 6).alias(n) for n, c in out.items()))
 
 
 @query()
 def ss_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fuzzy_features(all_pairs(spark, sf), "o")
+    return features.fuzzy_features(_pairs(spark, sf), "o")
 
 
 @query()
@@ -293,17 +298,17 @@ def vd_moments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.PAIRS}, {S.gram_features('origin', ['uniwords', 'biwords', 'triwords'])}")
 def fe_text_words(spark: SparkSession, sf: str) -> DataFrame:
-    return features.gram_features(all_pairs(spark, sf), "origin", ["uniwords", "biwords", "triwords"], edits=False)
+    return features.gram_features(_pairs(spark, sf), "origin", ["uniwords", "biwords", "triwords"], edits=False)
 
 
 @query(f"WITH {S.PAIRS}, {S.gram_features('origin', ['unichars', 'bichars', 'trichars'])}")
 def fe_text_characters(spark: SparkSession, sf: str) -> DataFrame:
-    return features.gram_features(all_pairs(spark, sf), "origin", ["unichars", "bichars", "trichars"], edits=False)
+    return features.gram_features(_pairs(spark, sf), "origin", ["unichars", "bichars", "trichars"], edits=False)
 
 
 @query(f"""WITH {S.PAIRS}, v AS (SELECT split, id, {S.stop_view("question1")} AS question1, {S.stop_view("question2")} AS question2 FROM pairs), {S.gram_features("stopword", ["uniwords", "biwords", "triwords"], "v")}""")
 def fe_text_stopword(spark: SparkSession, sf: str) -> DataFrame:
-    return features.gram_features(features.with_view(all_pairs(spark, sf), "stopword"), "stopword", ["uniwords", "biwords", "triwords"], edits=False)
+    return features.gram_features(features.with_view(_pairs(spark, sf), "stopword"), "stopword", ["uniwords", "biwords", "triwords"], edits=False)
 
 
 @query()
@@ -314,12 +319,12 @@ def fe_text_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fe_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fuzzy_features(features.with_view(all_pairs(spark, sf), "lemmatized"), "lemmatized")
+    return features.fuzzy_features(features.with_view(_pairs(spark, sf), "lemmatized"), "lemmatized")
 
 
 @query()
 def fe_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return features.tag_features(features.with_view(all_pairs(spark, sf), "lemmatized"), "lemmatized")
+    return features.tag_features(features.with_view(_pairs(spark, sf), "lemmatized"), "lemmatized")
 
 
 @query(
@@ -345,7 +350,7 @@ CASE WHEN ok THEN round({S.places("l1", "l2")}, 6) ELSE 0.0 END AS words_hamming
 )
 def fe_word_shares(spark: SparkSession, sf: str) -> DataFrame:
     weights = corpus.token_weights(question_texts(train_pairs(spark, sf)))
-    return corpus.word_shares(all_pairs(spark, sf), weights)
+    return corpus.word_shares(_pairs(spark, sf), weights)
 
 
 def _length_sql() -> str:
@@ -363,7 +368,7 @@ def _length_sql() -> str:
 
 @query(_length_sql())
 def fe_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return features.length_features(all_pairs(spark, sf))
+    return features.length_features(_pairs(spark, sf))
 
 
 @query(
@@ -380,7 +385,7 @@ def fe_equality(spark: SparkSession, sf: str) -> DataFrame:
     + " FROM l"
 )
 def fe_question_words(spark: SparkSession, sf: str) -> DataFrame:
-    return features.question_word_features(all_pairs(spark, sf))
+    return features.question_word_features(_pairs(spark, sf))
 
 
 @query(f"WITH {S.MAGIC} SELECT split, id, q1 AS magic_q1_freq, q2 AS magic_q2_freq FROM magic")
@@ -472,7 +477,7 @@ def ag_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 j AS (SELECT split, id, string_agg(coalesce(token_id, 0)::VARCHAR, ',' ORDER BY i) AS ids FROM u LEFT JOIN v USING (token) GROUP BY 1, 2) SELECT p.split, p.id, coalesce(ids, '') AS ids FROM pairs p LEFT JOIN j USING (split, id)"""
 )
 def ag_numerize(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = all_pairs(spark, sf)
+    pairs = _pairs(spark, sf)
     ids = corpus.numerize(pairs, ["split", "id"], "question1", corpus.vocabulary(question_texts(pairs)))
     return ids.select("split", "id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
@@ -496,7 +501,7 @@ FEATURES = [
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     """``id, is_duplicate`` and nine features of the training pairs."""
     pairs = all_pairs(spark, sf)
-    train = pairs.filter("split = 'train'")
+    train = spread(pairs.filter("split = 'train'"))
     parts = [
         train_pairs(spark, sf).select("split", "id", "is_duplicate"), features.gram_features(train, "o", ["uniwords"], edits=False),
         features.length_features(train).select("split", "id", "len_q1", "len_q2"), corpus.question_frequency(pairs), corpus.shared_neighbours(pairs),

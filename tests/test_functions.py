@@ -23,7 +23,7 @@ def value(frame, expression):
 
 @pytest.mark.parametrize(
     ("given_text", "wanted"),
-    [("I'm OK", "i m ok"), ("we don't", "we don t"), ("can't stop", "ca not stop"), ("10k people", "10 000 people"), ("a\\b", "a\\b"), ("a  \t b c", "a b c"), ("You cannot.", "you can not")],
+    [("I'm OK", "i m ok"), ("we don't", "we don t"), ("can't stop", "ca not stop"), ("10k people", "10 000 people"), ("a\\b", "a\\b"), ("a  \t b c", "a b c"), ("You cannot.", "you can not"), ("gonna gonna wanna cannots", "gon na gon na wan na cannots"), ("a\u3000b\u2003c\x1fd", "a b c d")],
 )
 def test_tokenize_view(spark, given_text, wanted):
     assert value(one(spark, t=given_text), text.view("tokenize")(F.col("t"))) == wanted
