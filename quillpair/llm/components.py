@@ -16,7 +16,7 @@ round stays short and lost executors lose nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillpair.sources.shared import drop_table, stage_table
@@ -45,10 +45,12 @@ def small_star(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free fingerprint of them."""
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(h), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _staged(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges written to the shared folder, with their number and an order-free fingerprint taken while writing."""
+    seen = Observation()
+    one, two = (F.xxhash64(*c).cast("decimal(38,0)") for c in (("u", "v"), ("v", "u")))
+    table = stage_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(one).alias("one"), F.sum(two).alias("two")), name)
+    return table, tuple(seen.get.values())
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, salts: int = SALTS) -> DataFrame:
@@ -59,15 +61,13 @@ def connected_components(pairs: DataFrame, a: str, b: str, salts: int = SALTS) -
     table gives no rows.  Identifiers are integers.
     """
     ends = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    edges = stage_table(ends.filter("_a IS NOT NULL AND _b IS NOT NULL AND u > v").select("u", "v").distinct(), "edges")
-    seen = _print_of(edges)
+    edges, before = _staged(ends.filter("_a IS NOT NULL AND _b IS NOT NULL AND u > v").select("u", "v").distinct(), "edges")
     while True:
         wide = stage_table(large_star(edges, salts), "large-star")
-        narrow = stage_table(small_star(wide, salts), "small-star")
-        now = _print_of(narrow)
+        narrow, now = _staged(small_star(wide, salts), "small-star")
         drop_table(wide)
         drop_table(edges)
         edges = narrow
-        if now == seen:
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
+        before = now
