@@ -1,9 +1,11 @@
 """Records that are the same but for case, spacing, punctuation and field order.
 
-Canonical records are range-partitioned and sorted on the whole key, then on the
-record's identifier; runs of equal keys lie side by side and one pass compares full
-keys of neighbours.  A run may be a third of all records: the range partitioning
-takes the identifier too, so a long run is spread over many partitions.  What joins
+Canonical records are range-partitioned and sorted on the key's beginning, the whole
+key's digest and the record's identifier; runs of equal keys lie side by side and one
+pass compares full keys of neighbours.  Beginning and digest keep what is sampled for
+the ranges short, however long the texts.  A run may be a third of all records: the
+range partitioning takes the identifier too, so a long run is spread over many
+partitions.  What joins
 the parts of such a run is the first and the last key of each partition, two rows a
 partition, which are the only rows that ever reach the driver.
 """
@@ -76,7 +78,9 @@ def collapse_copies(records: DataFrame, key: str, fields: list[str]) -> DataFram
     """
     spark = records.sparkSession
     canon = records.select(canonical_record(fields).alias("k"), F.col(key).cast("long").alias("id")).filter("k IS NOT NULL AND id IS NOT NULL")
-    runs = stage_table(canon.repartitionByRange("k", "id").sortWithinPartitions("k", "id").mapInArrow(_scan, _RUNS), "runs")
+    place = ["start", "digest", "id"]
+    sorted_ = canon.withColumns({"start": F.left("k", F.lit(16)), "digest": F.unhex(F.md5("k"))}).repartitionByRange(*place).sortWithinPartitions(*place)
+    runs = stage_table(sorted_.select("k", "id").mapInArrow(_scan, _RUNS), "runs")
     edges: dict[int, dict] = {}
     for r in runs.filter("edge IS NOT NULL").collect():  # two rows a partition
         part = edges.setdefault(r["part"], {})
