@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, weights
 from quillpair.plans.shipping import shipped
 from quillpair.sources.tables import read_table as table
+from quillpair.sources.tables import spread
 
 _BOTH = ["question1", "question2"]
 
 
+def _dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is dear by row: read in at least as many parts as tasks run at once."""
+    return spread(table(spark, sf, name))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return weights.distinctive_terms(table(spark, sf, "train"), "id", _BOTH, "frequency", 2).select("id", "term")
 
@@ -81,11 +87,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+    return encoding.encode_texts(_dealt(spark, sf, "documents"), "doc_id", "text")
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_targets"))
+    return mixing.mix_sources(_dealt(spark, sf, "documents"), table(spark, sf, "source_targets"))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +100,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _document_statistics(spark: SparkSession, sf: str) -> DataFrame:
     common = {r["word"] for r in table(spark, sf, "common_words").select("word").collect()}  # a fixed list
-    return quality.document_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+    return quality.document_statistics(_dealt(spark, sf, "documents"), "doc_id", "text", common)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
