@@ -27,6 +27,12 @@ def similarity_stream(pairs: DataFrame, name: str = "tokenize") -> DataFrame:
 
 
 def source_counts(pairs: DataFrame, time: str = "loaded_at", late: str = "3 days", width: str = "1 day") -> DataFrame:
-    """Pairs by source and window; rows later than ``late`` are dropped by the watermark.  Null sources are a group."""
-    rows = pairs.withWatermark(time, late) if pairs.isStreaming else pairs
-    return rows.groupBy(F.window(time, width).alias("w"), F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("pairs")).select(F.col("w.start").alias("start"), "source", "pairs")
+    """Pairs by source and window; rows later than ``late`` are dropped by the watermark.  Null sources are a group.
+
+    Rows without a time are in no window.  A watermark needs an instant, so times without
+    a zone are taken in the session's and windows are given without one.
+    """
+    rows = pairs.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if pairs.isStreaming else rows
+    counted = rows.groupBy(F.window(time, width).alias("w"), F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("pairs"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "source", "pairs")

@@ -146,6 +146,8 @@ def test_latent_cosine(spark):
     rows = spark.createDataFrame([("train", i, q1, q2) for i, (q1, q2) in enumerate([("red cat sits", "red cat sits"), ("blue dog", "green fish swims"), (None, "a cat"), ("dog dog", "dog")])], PAIRS)
     got = by_id(lsa.latent_cosine(rows, "words", components=20), "words_tfidf_lsa_cosine")
     assert got[0] == pytest.approx(1) and abs(got[1]) < 1e-6 and got[2] == 0
+    apart = by_id(lsa.latent_cosine(rows, "chars", components=5, compat=True), "chars_tfidf_lsa_cosine")
+    assert len(apart) == 4 and all(-1.000001 <= v <= 1.000001 for v in apart.values())
 
 
 def model_rows(spark):
