@@ -438,12 +438,12 @@ def fe_movers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fe_latent_words(spark: SparkSession, sf: str) -> DataFrame:
-    return lsa.latent_cosine(train_pairs(spark, sf), "words", components=50, vocabulary=1 << 14)
+    return lsa.latent_cosine(train_pairs(spark, sf), "words")
 
 
 @query()
 def fe_latent_characters(spark: SparkSession, sf: str) -> DataFrame:
-    return lsa.latent_cosine(train_pairs(spark, sf), "chars", components=50, vocabulary=1 << 14, min_rows=3, max_share=0.75)
+    return lsa.latent_cosine(train_pairs(spark, sf), "chars", min_rows=3, max_share=0.75)
 
 
 # corpus

@@ -150,6 +150,40 @@ def test_latent_cosine(spark):
     assert len(apart) == 4 and all(-1.000001 <= v <= 1.000001 for v in apart.values())
 
 
+def test_latent_cosine_agrees_with_a_full_decomposition(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    heads = [f"{a}{b}" for a in "bcdf" for b in "aeiou"]
+    made = [" ".join(str(w) for w in rng.choice(heads, 5)) + f" rare{k // 3}" for k in range(60)]
+    rows = [("train", k, made[k], made[(k * 7 + 1) % 60]) for k in range(60)] + [("train", 900 + k, made[0], made[1]) for k in range(40)]
+    grams = lambda t: [" ".join(t.split()[i : i + n]) for n in (1, 2, 3) for i in range(len(t.split()) - n + 1)]
+    texts = [r[2] for r in rows] + [r[3] for r in rows]
+    ids = {g: i for i, g in enumerate(sorted({g for t in texts for g in grams(t)}))}
+    tf = np.zeros((len(texts), len(ids)))
+    for k, t in enumerate(texts):
+        for g in grams(t):
+            tf[k, ids[g]] += 1
+    w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    monkeypatch.setattr(lsa, "TEXTS", 20)
+    monkeypatch.setattr(lsa, "PRODUCTS", 8)
+    for components in (5, 200):
+        got = by_id(lsa.latent_cosine(spark.createDataFrame(rows, PAIRS), "words", components=components), "words_tfidf_lsa_cosine")
+        x = w @ np.linalg.svd(w, full_matrices=False)[2][:components].T
+        want = [x[k] @ x[len(rows) + k] / np.linalg.norm(x[k]) / np.linalg.norm(x[len(rows) + k]) for k in range(len(rows))]
+        assert np.corrcoef([got[r[1]] for r in rows], want)[0, 1] > 0.99
+
+
+def test_latent_words_take_rare_words(spark, tmp_path):
+    """A pair of words rarer than many thousand others has vectors."""
+    import __spark_entry__ as entry
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(8)) for k in range(1_200)]
+    rows = [(k, t, t, 1) for k, t in enumerate(texts * 2)] + [(9_999, "zyx wvu", "zyx wvu", 1)]
+    spark.createDataFrame(rows, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    spark.createDataFrame([], "test_id long, question1 string, question2 string").write.parquet(f"{tmp_path}/test.parquet")
+    assert by_id(entry.queries()["fe_latent_words"](spark, str(tmp_path)), "words_tfidf_lsa_cosine")[9_999] == 1
+
+
 def model_rows(spark):
     rng = np.random.default_rng(3)
     data = [(i, int(x + 0.3 * e > 0), float(x), float(z), i % 3) for i, (x, z, e) in enumerate(rng.normal(size=(240, 3)))]
