@@ -11,8 +11,8 @@ A line of few words says little by itself -- hand-wrapped prose ends in such lin
 lists are made of them -- so the lines around it, up to a blank line, are statistics
 of a line as well.
 
-The mixture is fitted on the driver to the lines of a bounded number of documents,
-``FIT_DOCUMENTS``, taken by hash; all documents are scored.
+The mixture is fitted to the lines of all documents.  Their statistics are written once;
+a round is one aggregation of weights, sums and outer products over them.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Most documents to which the mixture is fitted, and rounds.
-FIT_DOCUMENTS, ROUNDS = 2_000, 40
+from quillpair.sources.shared import stage_table
+
+#: Most rounds of the fit.
+ROUNDS = 40
 KINDS = ("prose", "list", "table", "junk")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -200,37 +201,61 @@ class Mixture:
         """The component that most likely made each row."""
         return self._log((x - self.mean) / self.scale).argmax(1)
 
+    def held(self, x: np.ndarray) -> np.ndarray:
+        """Sums over rows: the log-likelihood, then for each component its share of the rows, of them and of their outer products."""
+        n, width = self.centre.shape
+        total = np.zeros((n, 1 + width + width * width))
+        likely = 0.0
+        precision = np.transpose(self.root, (0, 2, 1)) @ self.root
+        turned = np.einsum("kij,kj->ki", precision, self.centre)
+        flat = np.concatenate([(self.constant - 0.5 * (turned * self.centre).sum(1))[:, None], turned, -0.5 * precision.reshape(n, -1)], axis=1)
+        for k in range(0, len(x), 8_192):
+            z = (x[k : k + 8_192] - self.mean) / self.scale
+            powers = np.concatenate([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)], axis=1)
+            log = powers @ flat.T
+            top = log.max(1, keepdims=True)
+            part = np.exp(log - top)
+            whole = part.sum(1, keepdims=True)
+            likely += float((top + np.log(whole)).sum())
+            total += (part / whole).T @ powers
+        return np.append(total.ravel(), likely)
+
     @classmethod
-    def fit(cls, x: np.ndarray, anchors: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05, weight: float = 0.002) -> Mixture:
+    def fit(cls, gather: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray], anchors: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05, weight: float = 0.002) -> Mixture:
         """Expectation-maximization with a component for each group of inspected lines.
 
-        A component starts at its group, and the group stays part of it as ``weight`` of
-        the rows, so a rare kind is not lost to a frequent one.  Variances stay above
-        ``floor`` of the standardized statistics'.
+        ``gather`` adds up what a function gives for parts of the rows.  A component starts
+        at its group, and the group stays part of it as ``weight`` of the rows, so a rare
+        kind is not lost to a frequent one.  Variances stay above ``floor`` of the
+        standardized statistics'.
         """
-        every = np.concatenate([x, *anchors])
-        mean, scale = every.mean(0), np.maximum(every.std(0), 1e-6)
-        z = (x - mean) / scale
+        own = np.concatenate(anchors)
+        width = own.shape[1]
+        first = gather(_sums) + _sums(own)
+        n = first[0] - len(own)
+        mean = first[1:] / first[0]
+        spread = gather(lambda x: ((x - mean) ** 2).sum(0)) + ((own - mean) ** 2).sum(0)
+        scale = np.maximum(np.sqrt(spread / first[0]), 1e-6)
         groups = [(a - mean) / scale for a in anchors]
-        k, eye = len(groups), np.eye(x.shape[1])
-        held0 = max(20.0, weight * len(z))
+        k, eye = len(groups), np.eye(width)
+        held0 = max(20.0, weight * n)
         centre0 = np.stack([g.mean(0) for g in groups])
         spread0 = np.stack([(g - c).T @ (g - c) / len(g) for g, c in zip(groups, centre0, strict=True)]) + 2 * floor * eye
         model = cls(mean, scale, np.full(k, 1 / k), centre0.copy(), spread0.copy())
         before = -np.inf
         for _ in range(rounds):
-            log = model._log(z)
-            top = log.max(1, keepdims=True)
-            part = np.exp(log - top)
-            total = part.sum(1, keepdims=True)
-            now = float((top + np.log(total)).mean()) if len(z) else 0.0
-            part /= total
-            held = part.sum(0) + held0
+            found = gather(model.held)
+            now = float(found[-1] / n) if n else 0.0
+            found = found[:-1].reshape(k, -1)
+            part, total, square = found[:, 0], found[:, 1 : 1 + width], found[:, 1 + width :].reshape(k, width, width)
+            held = part + held0
             model.weight = held / held.sum()
-            model.centre = (part.T @ z + held0 * centre0) / held[:, None]
+            model.centre = (total + held0 * centre0) / held[:, None]
             for j in range(k):
-                d, g = z - model.centre[j], centre0[j] - model.centre[j]
-                model.spread[j] = ((part[:, j, None] * d).T @ d + held0 * (spread0[j] + np.outer(g, g))) / held[j] + floor * eye
+                c, g = model.centre[j], centre0[j] - model.centre[j]
+                around = square[j] - np.outer(total[j], c) - np.outer(c, total[j]) + part[j] * np.outer(c, c)
+                around = (around + around.T) / 2
+                model.spread[j] = (around + held0 * (spread0[j] + np.outer(g, g))) / held[j] + floor * eye
             model._prepare()
             if abs(now - before) < 1e-4:
                 break
@@ -238,34 +263,50 @@ class Mixture:
         return model
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.append(len(x), x.sum(0))
+
+
 def _anchors(common: frozenset[str] | set[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Statistics of each group's lines, and the group's kind."""
     lines = [np.concatenate([line_statistics(t, common)[0] for t in texts]) for texts in EXAMPLES.values()]
     return lines, np.array([KINDS.index(kind) for kind, _ in EXAMPLES])
 
 
-def fit_mixture(documents: DataFrame, text: str, common: set[str], most: int = FIT_DOCUMENTS) -> tuple[Mixture, np.ndarray] | None:
-    """The mixture and its components' kinds; None if no document has a line that is not blank."""
-    usable = documents.select(text).filter(F.col(text).isNotNull())
-    total = usable.count()
-    if not total:
-        return None
-    part = max(1, math.ceil(total / most))
-    chosen = usable.filter(F.pmod(F.xxhash64(text), F.lit(part)) == 0).limit(2 * most) if part > 1 else usable
-    known = frozenset(common)
+def _lines(documents: DataFrame, key: str, text: str, common: frozenset[str]) -> DataFrame:
+    """``key, x, size``: statistics of all lines of each document, written once."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_statistics(t, known)[0] for t in batch.column(0).to_pylist()]
-            x = np.concatenate([np.empty((0, WIDTH)), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(WIDTH)], list(NAMES))
+            found = [line_statistics(t or "", common) for t in batch.column(1).to_pylist()]
+            parts = [pa.array([np.ascontiguousarray(part, kind).tobytes() for part in column], pa.binary()) for column, kind in zip(list(zip(*found, strict=True)) or [(), ()], (np.float64, np.int64), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], [key, "x", "size"])
+
+    rows = documents.select(key, text)
+    return stage_table(rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, x binary, size binary"), "lines")
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def fit_mixture(lines: DataFrame, common: frozenset[str]) -> tuple[Mixture, np.ndarray]:
+    """The mixture of all lines and its components' kinds; the inspected lines alone where there are no others."""
+    x = lines.select("x")
+
+    def gather(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                total = total + f(_numbers(batch.column(0), np.float64).reshape(-1, WIDTH))
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        parts = x.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0], np.float64))
+        return parts.treeAggregate(f(np.empty((0, WIDTH))), lambda a, b: a + b, lambda a, b: a + b)
 
-    x = chosen.mapInArrow(lines, ", ".join(f"{n} double" for n in NAMES)).toPandas().to_numpy()
-    if not len(x):
-        return None
-    x = x[np.lexsort(x.T)]  # whatever order the rows came in
-    anchors, kinds = _anchors(known)
-    return Mixture.fit(x, anchors), kinds
+    anchors, kinds = _anchors(common)
+    return Mixture.fit(gather, anchors), kinds
 
 
 def document_statistics(documents: DataFrame, key: str, text: str, common: set[str]) -> DataFrame:
@@ -275,28 +316,24 @@ def document_statistics(documents: DataFrame, key: str, text: str, common: set[s
     Null, empty and blank texts have 0 characters and words and null shares.  Repeated
     rows and null keys are kept.
     """
-    fitted = fit_mixture(documents, text, common)
-    rows = documents.select(F.col(key), F.col(text))
-    shared = documents.sparkSession.sparkContext.broadcast((fitted, frozenset(common)))
+    rows = _lines(documents, key, text, frozenset(common))
+    shared = documents.sparkSession.sparkContext.broadcast(fit_mixture(rows, frozenset(common)))
     names = ["characters", "words", "mean_word_length", "symbol_ratio", "common_ratio", "ended_ratio", *KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture, known = shared.value
+        mixture, kinds_of = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [line_statistics(t or "", known) for t in texts]
-            count = np.array([len(s) for _, s in found], np.int64)
-            x = np.concatenate([np.empty((0, WIDTH)), *(a for a, _ in found)])
-            size = np.concatenate([np.empty(0, np.int64), *(s for _, s in found)])
-            owner = np.repeat(np.arange(len(texts)), count)
+            count = np.array([len(s) // 8 for s in batch.column(2).to_pylist()], np.int64)
+            x = _numbers(batch.column(1), np.float64).reshape(-1, WIDTH)
+            size = _numbers(batch.column(2), np.int64)
+            owner = np.repeat(np.arange(len(count)), count)
             words = np.rint(np.expm1(x[:, 1]))
-            total = lambda v: np.bincount(owner, v, len(texts))
+            total = lambda v: np.bincount(owner, v, len(count))
             characters, all_words, lines = total(size), total(words), np.maximum(count, 1)
             chars, some = np.maximum(characters, 1), np.maximum(all_words, 1)
             kind = np.zeros((len(x), len(KINDS)))
-            if mixture is not None and len(x):
-                best = mixture[1][mixture[0].best(x)]
-                kind[np.arange(len(x)), best] = size
+            if len(x):
+                kind[np.arange(len(x)), kinds_of[mixture.best(x)]] = size
             ratios = [total(np.expm1(x[:, 2]) * words) / some, total(x[:, 3] * size) / chars, total(x[:, 0] * words) / some, total(x[:, 5]) / lines]
             ratios += [total(kind[:, k]) / chars for k in range(len(KINDS))]
             blank = characters == 0

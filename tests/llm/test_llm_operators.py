@@ -322,3 +322,12 @@ def test_found_is_the_same_on_every_run(spark):
     frame = spark.createDataFrame([(k, f"The line {k} of it is here, and so it was.\n- a\n- b") for k in range(50)], "doc_id long, text string")
     one, two = (quality.document_statistics(f, "doc_id", "text", {"the", "of", "it", "is", "and"}).toPandas().sort_values("doc_id", ignore_index=True) for f in (frame, frame.repartition(5)))
     pd.testing.assert_frame_equal(one, two)
+
+
+def test_mixture_is_fitted_to_all_lines(spark, monkeypatch):
+    """Lines taken into the fit are those of all documents, beyond 2,000 as well."""
+    seen, fit = [], quality.Mixture.fit.__func__
+    monkeypatch.setattr(quality.Mixture, "fit", classmethod(lambda cls, gather, anchors, **k: (seen.append(gather(quality._sums)[0]), fit(cls, gather, anchors, rounds=2))[1]))
+    frame = spark.createDataFrame([(k, f"The line {k} of it is here.\n- a") for k in range(2_500)], "doc_id long, text string")
+    assert quality.document_statistics(frame, "doc_id", "text", {"the", "of", "it", "is"}).count() == 2_500
+    assert seen == [5_000]
