@@ -171,15 +171,16 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
 def tx_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections of all words of the corpus by the dictionary of its frequent words."""
     tokens = corpus.token_counts(question_texts(_both(all_pairs(spark, sf), text.view("tokenize"))))
-    return spelling.corrections(tokens, _dictionary(spark, sf), most=1)
+    return spelling.corrections(tokens, _dictionary(spark, sf))
 
 
 @query()
 def tx_corrected(spark: SparkSession, sf: str) -> DataFrame:
-    """The first questions with their words corrected, up to two edits."""
-    rows = _both(train_pairs(spark, sf), text.view("tokenize"))
-    tokens = corpus.token_counts(question_texts(rows))
-    return spelling.correct_texts(rows, ["split", "id"], "question1", spelling.corrections(tokens, _dictionary(spark, sf)))
+    """Both questions of all pairs with their words corrected, up to two edits."""
+    rows = stage_table(_both(all_pairs(spark, sf), text.view("tokenize")).withColumn("row", F.monotonically_increasing_id()), "corrected")
+    found = stage_table(tx_corrections(spark, sf), "corrections")
+    one = spelling.correct_texts(rows, ["row", "split", "id"], "question1", found)
+    return one.join(spelling.correct_texts(rows, ["row"], "question2", found), "row").drop("row")
 
 
 # n-grams

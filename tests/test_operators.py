@@ -173,6 +173,19 @@ def test_latent_cosine_agrees_with_a_full_decomposition(spark, monkeypatch):
         assert np.corrcoef([got[r[1]] for r in rows], want)[0, 1] > 0.99
 
 
+def test_corrections_of_both_questions_of_test(spark, tmp_path):
+    """A word of a test pair two edits from a frequent one is corrected, in either question."""
+    import __spark_entry__ as entry
+
+    train = [(k, "elephant", "elephant", 1) for k in range(20)]
+    spark.createDataFrame(train, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    spark.createDataFrame([(1, "elefant", "elephant"), (2, "elephant", "elefant")], "test_id long, question1 string, question2 string").write.parquet(f"{tmp_path}/test.parquet")
+    found = entry.queries()["tx_corrections"](spark, str(tmp_path)).collect()
+    assert [(r.token, r.correction) for r in found] == [("elefant", "elephant")]
+    got = entry.queries()["tx_corrected"](spark, str(tmp_path)).collect()
+    assert len(got) == 22 and all(r.question1 == r.question2 == "elephant" for r in got)
+
+
 def test_latent_words_take_rare_words(spark, tmp_path):
     """A pair of words rarer than many thousand others has vectors."""
     import __spark_entry__ as entry
