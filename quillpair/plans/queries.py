@@ -499,15 +499,17 @@ FEATURES = [
 ]
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, is_duplicate`` and nine features of the training pairs."""
+def _features(spark: SparkSession, sf: str, split: str = "train") -> DataFrame:
+    """``id, is_duplicate`` and nine features of the training pairs, or of the evaluation pairs, which have no label."""
     pairs = all_pairs(spark, sf)
-    train = spread(pairs.filter("split = 'train'"))
+    own = pairs.filter(F.col("split") == split)
+    some = spread(own)
+    label = train_pairs(spark, sf).select("split", "id", "is_duplicate") if split == "train" else own.select("split", "id", F.lit(None).cast("int").alias("is_duplicate"))
     parts = [
-        train_pairs(spark, sf).select("split", "id", "is_duplicate"), features.gram_features(train, "o", ["uniwords"], edits=False),
-        features.length_features(train).select("split", "id", "len_q1", "len_q2"), corpus.question_frequency(pairs), corpus.shared_neighbours(pairs),
+        label, features.gram_features(some, "o", ["uniwords"], edits=False),
+        features.length_features(some).select("split", "id", "len_q1", "len_q2"), corpus.question_frequency(pairs), corpus.shared_neighbours(pairs),
     ]
-    return matrix.side_by_side(parts, ["split", "id"]).filter("split = 'train'").select("id", "is_duplicate", *FEATURES)
+    return matrix.side_by_side(parts, ["split", "id"]).filter(F.col("split") == split).select("id", "is_duplicate", *FEATURES)
 
 
 def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -705,9 +707,10 @@ def ml_matching(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ml_bagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean over folds' models for the rows of fold 0, which they treat as new rows."""
+    """Mean over the models of all labelled rows' folds for every row of test."""
     rows = _model_rows(spark, sf)
-    return models.bagged(rows.filter("fold > 0"), rows.filter("fold = 0").drop("is_duplicate"), "id", _inputs(rows), "is_duplicate", "fold", "logistic")
+    test = stage_table(matrix.symmetrise(matrix.clean(_features(spark, sf, "test").drop("is_duplicate"), ["id"]), ["id"]), "test-rows")
+    return models.bagged(rows, test, "id", _inputs(rows), "is_duplicate", "fold", "logistic")
 
 
 @query()

@@ -186,6 +186,14 @@ def test_corrections_of_both_questions_of_test(spark, tmp_path):
     assert len(got) == 22 and all(r.question1 == r.question2 == "elephant" for r in got)
 
 
+def test_bagged_predicts_every_row_of_test(spark, small_dir):
+    import __spark_entry__ as entry
+
+    want = sorted(r[0] for r in spark.read.parquet(f"{small_dir}/test.parquet").select("test_id").collect())
+    got = entry.queries()["ml_bagged"](spark, small_dir).collect()
+    assert sorted(r.id for r in got) == want and all(0 <= r.prob <= 1 for r in got)
+
+
 def test_latent_words_take_rare_words(spark, tmp_path):
     """A pair of words rarer than many thousand others has vectors."""
     import __spark_entry__ as entry
