@@ -3,9 +3,10 @@
 Statistics are taken of every line and of every document: words, their mean length,
 shares of symbols, digits and common words, list marks, separators of columns, and
 whether lines end as sentences do.  A Gaussian mixture is fitted by
-expectation-maximization to the standardized statistics of lines, with a component for
-each group of inspected examples, which says what the component means.  A document's characters are
-then shared out over prose, list, table and junk line by line.
+expectation-maximization to the standardized statistics of lines; its components begin
+at groups of inspected examples and then move freely.  After the fit the examples tell
+which component is prose, list, table or junk, and a document's characters are shared
+out over these line by line.
 
 A line of few words says little by itself -- hand-wrapped prose ends in such lines,
 lists are made of them -- so the lines around it, up to a blank line, are statistics
@@ -39,83 +40,83 @@ _QUOTE = re.compile(r"(?:\s*>)+\s?")
 _COLUMNS = re.compile(r"\||\t|\S {2,}(?=\S)|[,;=](?=\S)")
 _ENDS = (".", "!", "?", "…", ":", "。", "！", "？", '."', '?"', '!"', ".”", "?”", "!”", ".)", "?)", "!)", ".'", "?'", "!'")
 
-#: Inspected examples: runs of lines as they are found in posts, by what they are and how.
+#: Inspected examples, written for this purpose: runs of lines as posts have them, by what they are and how.
 EXAMPLES: dict[tuple[str, str], list[str]] = {
     ("prose", "sentences"): [
-        "They will not clean your kettle for less than 9 coins, which is more than I was ready to pay.",
-        "It depends on the boot: if it is cheap, then clean it, or else leave it for 34 weeks. Most of what you read about Moralin was written by somebody who did not cross it even once.",
-        "Es ist nicht leise, dass sie die Laterne im Haus tragen. Nach drei Tagen hat man die Brücke mit der Treppe zu lagern.",
-        "Je ne sais pas qui a pu peindre la porte, ou si la table est large. Si vous avez une échelle plus utile, il faut la mesurer.",
-        "La lámpara es muy fuerte, pero no se puede llevar sin la bodega. No sé si va a pintar la cuerda por 36 días o para la casa.",
+        "The repair took three weeks, which was longer than we had been told, and the bill came to 240 dollars in the end.",
+        "It depends on the roof: if it is flat, then seal it first, or else leave it until spring. Most of the advice I found about gutters was written by people who had not cleaned one in years.",
+        "Wir haben die Heizung nicht selbst eingebaut, weil uns dafür das Werkzeug fehlte. Nach zwei Tagen war sie wieder kalt, und der Händler hat sie ohne ein Wort ersetzt.",
+        "Je ne sais pas si le train de midi circule encore, mais il faut réserver une place avant de partir. Nous sommes restés une semaine au bord du lac.",
+        "El puente estaba cerrado por las obras, así que tuvimos que dar la vuelta por el pueblo. No es una buena idea salir sin agua en verano.",
     ],
     ("prose", "short question"): [
-        "When will Gorimal build its stove for customers in Torelan?",
-        "Do Merolind saddle fans prefer Torabal over Gilumet because it's heavy?",
-        "Why does my quiet Forulan engine weld after the Dorim drum at Selagor?",
+        "How long does fresh pasta keep in the fridge?",
+        "Why do bicycle brakes squeal after rain?",
+        "Can I grow lemons indoors during winter in Norway?",
     ],
     ("prose", "without marks"): [
-        "what they call a dorelin is only a quiet lamp with one handle on top of it and nobody could mend it before the boat came",
-        "wenn wir die lampe nicht messen, wird es für die brücke zu neu\nauf der kiste sind nur die jacke und die gabel so hell, wie man denkt",
-        "en 2 jours, nous avons vu que la lampe et la chaise sont comme une clé pour la voile et que la corde est rouge",
-        "cuando hay una mesa más breve, lo mejor es guardar con la llave\nen la puerta los niños no saben llevar una cuerda tan leve",
+        "i think that most people who ask this have never tried it for more than a week and then they say it did not work at all",
+        "wenn man die tür im winter offen lässt, wird es in dem ganzen haus kalt\nund die heizung läuft dann auch in der nacht weiter, was nicht billig ist",
+        "on peut prendre le bus ou y aller à pied mais il faut partir tôt parce que la route est longue et il fait chaud",
+        "lo mejor es dejar la masa en un lugar seco durante la noche\ny no abrir el horno hasta que el pan esté bien hecho",
     ],
     ("prose", "hand-wrapped"): [
-        "Most of what you read about the bridge was written by\nsomebody who did not cross it even once, and so\nall of them had to build it again.",
-        "the harbour arrived. She asked whether the violin\nand the other violin were the same, and they are\nnot.",
-        "before the knife arrived. If you want to cool a\ndurable oven, you will have to ask Torelan for the\nboat.",
-        "man es sich denkt. Es ist nicht hell, dass sie die\nJacke im Haus lagern oder an der Treppe prüfen. Nach\n3 Tagen hat man sie.",
+        "The ferry leaves at seven in the morning and does not\nwait for anybody, so most of the guests stay in the\nharbour for the night.",
+        "behind the school. He asked if the old key would still\nfit, and they told him that nobody had changed the\nlock.",
+        "after the storm. If you need to dry a tent, hang it in\nthe shade and turn it once an hour until the seams are\ndry.",
+        "den Schlüssel. Es war schon dunkel, als wir an der\nHütte ankamen, und keiner von uns hatte eine Lampe. So\nblieb es kalt.",
     ],
     ("list", "marked"): [
-        "- Fenoluk oven?\n- Tarimod saddle!\n- polish gutter Kerolim",
-        "* Lorabesk antenna;\n* water orchard Mirtalon;\n• Besolim exam hollow!\n• Nerufal telescope dried?",
-        "+ tragen Mauer Mulgidra?\n+ Gabel neu Forinak\n[ ] Mokrelin printer.\n[x] choose harbour Dorimal!",
+        "- olive oil\n- two onions, chopped\n- smoked paprika",
+        "* window cleaner;\n* spare bulbs;\n• batteries AA!\n• tape measure?",
+        "+ Schrauben M6\n+ Dübel, Winkel\n[ ] call electrician\n[x] order tiles!",
     ],
     ("list", "numbered"): [
-        "1. zelodur carpet\n2. brush kitchen Morelatu\n3. Gorintha window blue",
-        "12) Gorubal keyboard deep?\n13) fold carpet Nerimol\n(4) Lorim table",
-        "a) register ticket rodolam\nb) Tamiruk compass annual\nc) Velidor drum\ny) limpiar mesa Torul",
+        "1. preheat oven\n2. grease tin\n3. sift flour, sugar",
+        "12) Lisbon harbour\n13) Porto cathedral\n(4) Coimbra library",
+        "a) passport\nb) vaccination card\nc) travel insurance\nd) billete de tren",
     ],
     ("list", "names"): [
-        "Lamerod Platform\nGolibur Tripod\nSarunel Accent Blue",
-        "Fodurim Wiese Hell\nTaluge Brücke\nGorimand Karte Neu\nBelurim Ventana",
+        "Oakland Museum\nGolden Gate Park\nPier Thirty-Nine",
+        "Rathaus Altona\nBahnhof Dammtor\nFischmarkt\nPlaza Mayor",
     ],
     ("list", "entries"): [
-        "mesurer porte Pilatrok: nutelira\nTelurod tent: Sudafril\nchercher lampe Vorimal: Kerluda",
-        "Gorimal invoice narrow: Zabelin\npolish keyboard Folater: kilimak",
+        "brakes worn: replaced\nheadlight: cracked\nchain: stretched, oiled",
+        "tamaño cocina: mediano\nmaterial: acero",
     ],
     ("table", "bars"): [
-        "| name | q1_len | price |\n| --- | --- | --- |\n| Morelod | 0.2572 | 1105 |",
-        "Tokrilan |    3666    |    3437\n   0.7319   |   0.6631   |  Golubar",
+        "| city | rain mm | days |\n| --- | --- | --- |\n| Bergen | 2495.0 | 231 |",
+        "Granite |    2691    |    6.5\n   2.75   |   170   |  Marble",
     ],
-    ("table", "tabs"): ["0.3066\t5065\t0.9241\nVerilon\t1713\tGoruda", "q1_len\tword_ratio\tlamp\n711\t0.2210\tTorim\t8"],
-    ("table", "commas"): ["1596,Kedrilan,Bekripa,5277\nFarelon,337,Breskuda", "q1_len,word_ratio,tfidf_len\n0.42,0.99,3353"],
-    ("table", "spaces"): ["Naliruk       7531          2271\n0.6354        2003          Bruneval", "q1_len        lamp          word_freq\n39            Torimal       0.0912"],
-    ("table", "fields"): ["char_dice=0.8698; terrain=7173; q2_freq=0.5767", "oven=Torimal; q1_len=0.2213; stove=4480; Tür=Melorin"],
-    ("junk", "symbols"): ["$=^^&^= +>=>~@= @+^|}$ && <|+^~/ +*~~{{% ~~* /@$~/== =>@>^$ }%>~+", "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "@@ ## %%% &&* ^^ !! ~~ ** $$ ## @@ %% ^&* !!! ##"],
+    ("table", "tabs"): ["0.125\t3020\tsteel\nzinc\t419.5\t7.14", "year\tharvest\tprice\n1998\t3.41\t12\tgood"],
+    ("table", "commas"): ["1998,Bordeaux,13.5,8200\nRioja,14,6100", "date,open,high,low\n04-02,101.5,103.2,99.8"],
+    ("table", "spaces"): ["Helium       4.0026        2\n0.1785        -268.9        gas", "planet        mass        moons\nMars        0.107        2"],
+    ("table", "fields"): ["width=120.5; height=80; depth=33.25", "user=anna; visits=42; country=Chile; plan=basic"],
+    ("junk", "symbols"): ["%%^&* ##@! ~~~ ||| ^^%$ <<>> {}{} ==+= *&^% $#@!", "= = = = = = = = = = = = = = = = = = = = = =", "/\\/\\/\\/\\ ____ ---- **** ++++ |||| ~~~~"],
     ("junk", "keys struck"): [
-        "rzrsjeiqapqh fstslpgdz;ijofo sppgwwssfs ;i;ofwop otiki loarg;jzokfp qs;zikgsz",
-        "asdf jkl; qwer uiop sdkfj;lwke fjsldkfj woeiru;sld kfjwoe zlkj;weoi",
+        "wqkjehr lkajsd;fo qwpoeir zmxncb asldkfj; qpwoeiru alskdjf",
+        "dfghdf jkl;jkl tyutyui vbnmvbn sdfgsdfg rtyurtyu;hjkl",
     ],
-    ("junk", "repeated letters"): ["hahahahahahahahahahahahahahahahahahahahahahahahahahaha", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "xXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxXxX"],
-    ("junk", "encoded"): [" d/IK80jnIC55/FjF/jK9Ffed76mNIoo/1KJCpC9NA5/ipA58cMIjp7ALKA5m6PMjAiok3jOeKI6A\n HAeogAfebglK+cNJ1njieceF1dn7+2o1+NJBm+FKj5fF5KeAPMaP1C3O7j12DDKiN4glJb61G5G3"],
-    ("junk", "log"): [" [16:29:30] WARN pid=4242 code=0x649f\n [05:15:37] INFO pid=7672 code=0x5096", "2021-03-04 11:02:09 ERROR worker=17 status=500 at 0x77ab"],
-    ("junk", "menu"): ["Menu | Report | Login | Reply | Login | Menu | Ask | Next | Top | Share | Home |", "Home | Top | Share | Follow | Ask | Login | Next | Reply"],
+    ("junk", "repeated letters"): ["loooooooooooooooooooooooooooooooooooooool", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "hehehehehehehehehehehehehehehehehehehehe"],
+    ("junk", "encoded"): ["iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4\n//8/w38GIAXDIBKE0DHxgljNBAAO9TXL0Y4OHwAAAABJRU5ErkJggg"],
+    ("junk", "log"): ["[12:04:55] ERROR pid=881 errno=0x1f\n[12:04:56] INFO pid=881 retry=0x20", "2019-11-30 23:59:58 WARN thread=4 status=503 addr=0xffe1"],
+    ("junk", "menu"): ["Home | About | Contact | Login | Register | Help | Sitemap |", "Back | Share | Print | Next | Top | Archive"],
     ("junk", "shouted offers"): [
-        "lamp deals!!! lamp deals $$$ lamp deals >>> lamp deals lamp deals!!!",
-        "READ MORE >>> READ MORE!!! READ MORE READ MORE $$$ READ MORE >>>",
-        "best offers best offers $$$ best offers best offers!!! best offers >>> best offers",
+        "cheap watches!!! cheap watches $$$ cheap watches >>> buy cheap watches!!!",
+        "CLICK HERE >>> CLICK HERE!!! CLICK HERE CLICK HERE $$$ CLICK HERE >>>",
+        "free prizes free prizes $$$ free prizes free prizes!!! free prizes >>> free prizes",
     ],
     ("junk", "joined small words"): [
-        "into for when be is they we their when one can so that who more into this in at from on for be you but a on were from are",
-        "le un pour dans elle que des sur mais une par et les son qui ne vous sont le au un je plus en ou des se",
-        "der mit als und kann wie dem nicht auf ein wir für so es bei noch war aber sind im nur hat zu",
-        "las donde sobre una para un le más cuando de esta su es los ya me sus como la el quien muy se por",
+        "of when at this from one if who were be into on they for so an all we out the but more you are by to",
+        "les un dans qui pour par que sur est une ne pas au vous mais ou plus des elle son avec ce",
+        "und mit der als ein auf nicht wenn noch bei so wie es wird aber nur sie aus dem zu",
+        "que las con una del por para sus más pero como ya muy sin sobre este hay nos le al",
     ],
     ("junk", "joined names"): [
-        "tozinarax bikrotumem tobomun trolilez kroglomadur motaglesk podrogluk trusetrisk pitovend vobrukiter brokarim solugan",
-        "goluman terisod fakurel mirotan selugar dorimatel kuvalon beritas nolumar tegisol",
+        "antrovex belimundo cartogril dorpavesk elunimar fostribek gravolint hesperudo",
+        "jorvenal kelstrigo lumefarid montivesk noruphel ostrigal pelvorand quastimir",
     ],
-    ("junk", "code"): ["for i in range(10):\n\tprint(i)\nreturn x[0] + y;", "if (a == b) { return f(x); }\n\tx += 1;"],
+    ("junk", "code"): ["while (i < n) {\n\ttotal += price[i++];\n}", "def area(r):\n\treturn 3.14 * r ** 2\nprint(area(2))"],
 }
 
 
@@ -202,73 +203,87 @@ class Mixture:
         return self._log((x - self.mean) / self.scale).argmax(1)
 
     def held(self, x: np.ndarray) -> np.ndarray:
-        """Sums over rows: the log-likelihood, then for each component its share of the rows, of them and of their outer products."""
+        """Sums over rows: for each component its share of the rows, of them and of products of two statistics; and the log-likelihood."""
         n, width = self.centre.shape
-        total = np.zeros((n, 1 + width + width * width))
+        i, j = np.triu_indices(width)
+        total = np.zeros((n, 1 + width + len(i)))
         likely = 0.0
         precision = np.transpose(self.root, (0, 2, 1)) @ self.root
         turned = np.einsum("kij,kj->ki", precision, self.centre)
-        flat = np.concatenate([(self.constant - 0.5 * (turned * self.centre).sum(1))[:, None], turned, -0.5 * precision.reshape(n, -1)], axis=1)
+        flat = np.concatenate([(self.constant - 0.5 * (turned * self.centre).sum(1))[:, None], turned, np.where(i == j, -0.5, -1.0) * precision[:, i, j]], axis=1)
         for k in range(0, len(x), 8_192):
-            z = (x[k : k + 8_192] - self.mean) / self.scale
-            powers = np.concatenate([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)], axis=1)
-            log = powers @ flat.T
-            top = log.max(1, keepdims=True)
+            z = np.ascontiguousarray(((x[k : k + 8_192] - self.mean) / self.scale).T)
+            powers = np.concatenate([np.ones((1, z.shape[1])), z, z[i] * z[j]])
+            log = flat @ powers
+            top = log.max(0)
             part = np.exp(log - top)
-            whole = part.sum(1, keepdims=True)
+            whole = part.sum(0)
             likely += float((top + np.log(whole)).sum())
-            total += (part / whole).T @ powers
+            total += (part / whole) @ powers.T
         return np.append(total.ravel(), likely)
 
     @classmethod
-    def fit(cls, gather: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray], anchors: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05, weight: float = 0.002) -> Mixture:
-        """Expectation-maximization with a component for each group of inspected lines.
-
-        ``gather`` adds up what a function gives for parts of the rows.  A component starts
-        at its group, and the group stays part of it as ``weight`` of the rows, so a rare
-        kind is not lost to a frequent one.  Variances stay above ``floor`` of the
-        standardized statistics'.
+    def fit(cls, gather: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray], starts: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05) -> Mixture:
+        """Expectation-maximization over all rows, with a component for each group of lines in ``starts``.
+
+        ``gather`` adds up what a function gives for parts of the rows.  The groups say where
+        the components begin, and take part in the standardization, so that a handful of rows
+        is standardized too; nothing holds a component to its group afterwards.  A component
+        that less than one row falls to stays where it is.  Variances stay above ``floor`` of
+        the standardized statistics'.
         """
-        own = np.concatenate(anchors)
+        own = np.concatenate(starts)
         width = own.shape[1]
         first = gather(_sums) + _sums(own)
         n = first[0] - len(own)
         mean = first[1:] / first[0]
         spread = gather(lambda x: ((x - mean) ** 2).sum(0)) + ((own - mean) ** 2).sum(0)
         scale = np.maximum(np.sqrt(spread / first[0]), 1e-6)
-        groups = [(a - mean) / scale for a in anchors]
+        groups = [(a - mean) / scale for a in starts]
         k, eye = len(groups), np.eye(width)
-        held0 = max(20.0, weight * n)
-        centre0 = np.stack([g.mean(0) for g in groups])
-        spread0 = np.stack([(g - c).T @ (g - c) / len(g) for g, c in zip(groups, centre0, strict=True)]) + 2 * floor * eye
-        model = cls(mean, scale, np.full(k, 1 / k), centre0.copy(), spread0.copy())
+        upper, lower = np.triu_indices(width)
+        centre = np.stack([g.mean(0) for g in groups])
+        around = np.stack([(g - c).T @ (g - c) / len(g) for g, c in zip(groups, centre, strict=True)])
+        model = cls(mean, scale, np.full(k, 1 / k), centre, around + 2 * floor * eye)
         before = -np.inf
-        for _ in range(rounds):
+        for _ in range(rounds if n else 0):
             found = gather(model.held)
-            now = float(found[-1] / n) if n else 0.0
+            now = float(found[-1] / n)
             found = found[:-1].reshape(k, -1)
-            part, total, square = found[:, 0], found[:, 1 : 1 + width], found[:, 1 + width :].reshape(k, width, width)
-            held = part + held0
-            model.weight = held / held.sum()
-            model.centre = (total + held0 * centre0) / held[:, None]
-            for j in range(k):
-                c, g = model.centre[j], centre0[j] - model.centre[j]
-                around = square[j] - np.outer(total[j], c) - np.outer(c, total[j]) + part[j] * np.outer(c, c)
-                around = (around + around.T) / 2
-                model.spread[j] = (around + held0 * (spread0[j] + np.outer(g, g))) / held[j] + floor * eye
+            part, total, square = found[:, 0], found[:, 1 : 1 + width], np.empty((k, width, width))
+            square[:, upper, lower] = square[:, lower, upper] = found[:, 1 + width :]
+            model.weight = np.maximum(part, 1e-6) / np.maximum(part, 1e-6).sum()
+            for j in np.flatnonzero(part >= 1):
+                c = model.centre[j] = total[j] / part[j]
+                around = square[j] / part[j] - np.outer(c, c)
+                model.spread[j] = (around + around.T) / 2 + floor * eye
             model._prepare()
             if abs(now - before) < 1e-4:
                 break
             before = now
         return model
 
+    def kinds(self, groups: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+        """What each component is, told after the fit by inspected lines.
+
+        Each group of lines has one vote for its kind, split over the components that likely
+        made its lines; a component without a vote is what the line likeliest in it is.
+        """
+        likely = [self._log((g - self.mean) / self.scale) for g in groups]
+        votes = np.zeros((len(self.weight), len(KINDS)))
+        for log, of in zip(likely, kind, strict=True):
+            part = np.exp(log - log.max(1, keepdims=True))
+            votes[:, of] += (part / part.sum(1, keepdims=True)).mean(0)
+        nearest = kind[np.stack([log.max(0) for log in likely]).argmax(0)]
+        return np.where(votes.sum(1) < 1e-3, nearest, votes.argmax(1))
+
 
 def _sums(x: np.ndarray) -> np.ndarray:
     return np.append(len(x), x.sum(0))
 
 
-def _anchors(common: frozenset[str] | set[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Statistics of each group's lines, and the group's kind."""
+def _inspected(common: frozenset[str] | set[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Statistics of the inspected lines by group, and each group's kind."""
     lines = [np.concatenate([line_statistics(t, common)[0] for t in texts]) for texts in EXAMPLES.values()]
     return lines, np.array([KINDS.index(kind) for kind, _ in EXAMPLES])
 
@@ -291,7 +306,7 @@ def _numbers(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def fit_mixture(lines: DataFrame, common: frozenset[str]) -> tuple[Mixture, np.ndarray]:
-    """The mixture of all lines and its components' kinds; the inspected lines alone where there are no others."""
+    """The mixture of all lines and its components' kinds."""
     x = lines.select("x")
 
     def gather(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -305,8 +320,9 @@ def fit_mixture(lines: DataFrame, common: frozenset[str]) -> tuple[Mixture, np.n
         parts = x.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0], np.float64))
         return parts.treeAggregate(f(np.empty((0, WIDTH))), lambda a, b: a + b, lambda a, b: a + b)
 
-    anchors, kinds = _anchors(common)
-    return Mixture.fit(gather, anchors), kinds
+    groups, kind = _inspected(common)
+    mixture = Mixture.fit(gather, groups)
+    return mixture, mixture.kinds(groups, kind)
 
 
 def document_statistics(documents: DataFrame, key: str, text: str, common: set[str]) -> DataFrame:

@@ -293,7 +293,7 @@ def test_mixing(spark):
 
 
 def test_quality_of_held_out_examples(spark):
-    """Documents put together from parts that are no examples of the operator."""
+    """Documents put together from parts that are no examples of the operator; required: 97 of 100 told rightly, twelve kinds, none wrong throughout."""
     common = set("the a of and to in is it that for on with as was be this have not but or they you we can will would if when all so more than about had were der die das und ist in zu nicht mit auf".split())
     rng = random.Random(9)
     nouns, names = "anchor basket copper drawer falcon garden hammer island jacket kernel ladder magnet".split(), ["Borvik", "Melden", "Sorina", "Tavel", "Quorin"]
@@ -303,15 +303,20 @@ def test_quality_of_held_out_examples(spark):
     listing = lambda: "\n".join(f"{k + 1}. {rng.choice(names)} {rng.choice(nouns)}" for k in range(25))
     bars = lambda: "\n".join("| " + " | ".join(rng.choice([rng.choice(names), f"{rng.random():.3f}", str(rng.randint(1, 9999))]) for _ in range(4)) + " |" for _ in range(20))
     noise = lambda: " ".join("".join(rng.choice("#$%^&*@+=<>|") for _ in range(rng.randint(2, 8))) for _ in range(90))
-    kinds = [(prose, 0), (wrapped, 0), (lambda: prose().lower().replace(".", ""), 0), (listing, 1), (bars, 1), (noise, 1), (lambda: sentence() + "\n\n" + listing(), 1), (lambda: prose() + "\n\n" + "- " + rng.choice(nouns), 0)]
-    made = [(k, *kinds[k % len(kinds)]) for k in range(160)]
+    bullets = lambda: "\n".join(f"* {rng.choice(nouns)} {rng.choice(nouns)}" for _ in range(18))
+    tabbed = lambda: "\n".join("\t".join([rng.choice(names), str(rng.randint(1, 999)), f"{rng.random():.2f}"]) for _ in range(15))
+    logged = lambda: "\n".join(f"2024-0{rng.randint(1, 9)}-11 1{rng.randint(0, 9)}:20:33 ERROR pid={rng.randint(1, 9999)} code=0x{rng.randint(0, 65535):x}" for _ in range(15))
+    asked = lambda: " ".join(f"Why is the {rng.choice(nouns)} of {rng.choice(names)} so much heavier than a {rng.choice(nouns)}?" for _ in range(2))
+    kinds = [(bullets, 1), (tabbed, 1), (logged, 1), (asked, 0), (prose, 0), (wrapped, 0), (lambda: prose().lower().replace(".", ""), 0), (listing, 1), (bars, 1), (noise, 1), (lambda: sentence() + "\n\n" + listing(), 1), (lambda: prose() + "\n\n" + "- " + rng.choice(nouns), 0)]
+    made = [(k, *kinds[k % len(kinds)]) for k in range(240)]
     docs = [(k, f(), bad) for k, f, bad in made]
     frame = spark.createDataFrame([(k, t) for k, t, _ in docs] + [(900, None), (901, ""), (902, " \n\t "), (None, "x"), (903, "x" * 30_000), (0, docs[0][1])], "doc_id long, text string").withColumn("words", F.lit(1))
     got = quality.document_statistics(frame, "doc_id", "text", common).toPandas()
     assert len(got) == len(docs) + 6
     share = got.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id")
     wrong = [(k, bad) for k, _, bad in docs if (share.loc[k, "prose"] <= 0.5) != bool(bad)]
-    assert len(wrong) <= 4, wrong
+    assert len(wrong) <= 0.03 * len(docs), wrong
+    assert max(Counter(k % len(kinds) for k, _ in wrong).values(), default=0) < 20
     blank = share.loc[[900, 901, 902]]
     assert (blank["characters"] == 0).all() and blank["prose"].isna().all()
     row = quality.document_statistics(spark.createDataFrame([(1, "The cat sat.\n- $$$$")], "doc_id long, text string"), "doc_id", "text", common).first()
@@ -327,7 +332,7 @@ def test_found_is_the_same_on_every_run(spark):
 def test_mixture_is_fitted_to_all_lines(spark, monkeypatch):
     """Lines taken into the fit are those of all documents, beyond 2,000 as well."""
     seen, fit = [], quality.Mixture.fit.__func__
-    monkeypatch.setattr(quality.Mixture, "fit", classmethod(lambda cls, gather, anchors, **k: (seen.append(gather(quality._sums)[0]), fit(cls, gather, anchors, rounds=2))[1]))
+    monkeypatch.setattr(quality.Mixture, "fit", classmethod(lambda cls, gather, starts, **k: (seen.append(gather(quality._sums)[0]), fit(cls, gather, starts, rounds=2))[1]))
     frame = spark.createDataFrame([(k, f"The line {k} of it is here.\n- a") for k in range(2_500)], "doc_id long, text string")
     assert quality.document_statistics(frame, "doc_id", "text", {"the", "of", "it", "is"}).count() == 2_500
     assert seen == [5_000]
