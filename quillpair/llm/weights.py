@@ -1,70 +1,55 @@
 """How characteristic a term is of a record, against the whole collection.
 
-Log-entropy weighting.  A first aggregation gives ``c``, the occurrences of a
-term in a record; a second one, over all records, gives per term the records
-``d`` that hold it, its occurrences ``g`` and ``s = sum(c * ln c)``.  From these
+Log-entropy weighting by two aggregations.  The first gives ``c``, the occurrences of a
+term in a record; the second, over all records, gives per term the records ``d`` that
+hold it, its occurrences ``g`` and ``s = sum(c * ln c)``.  From these
 
-* entropy of the term's spread over records: ``ln g - s / g``,
+* entropy of the spread of a term's occurrences over records: ``ln g - s / g``,
 * global weight: ``1 - entropy / ln N`` (1 for a term of one record, 0 for an even spread),
 * log-entropy score: ``ln(1 + c) * global weight``,
-* frequency score: ``c * ln(N / d)`` -- for terms that occur once in each of
-  their records it is the global weight times ``ln N``.
-
-Scale: the first aggregation is local to a record and never shuffles.  The second
-one is combined per batch and then merged by Spark.  Postings of terms that are in
-at least ``COMMON_SHARE`` of the records are never shuffled: there are at most
-(mean terms of a record / ``COMMON_SHARE``) such terms, so their statistics are
-broadcast.  Of the common terms only the best one of a record is kept; the other
-postings are joined with the statistics by term, which bounds every join key to
-``COMMON_SHARE`` of the records.
+* frequency score: ``c * ln(N / d)``.  It is ``c * ln N`` times the global weight of the
+  term's records, each counted once: their entropy is ``ln d``, so the weight is
+  ``1 - ln d / ln N``.
+
+Scale: records are dealt out by key as texts, which are shorter than their postings, so
+the first aggregation has no shuffle of its own; the second is combined before its
+shuffle.  Postings are written once.  Postings of the most frequent
+terms are scored beside a broadcast of their statistics: those in at least a
+``1 / COMMON`` of all postings, hence at most ``COMMON`` terms, whatever the collection.
+Of these only the best one of a record is kept.  The other postings are joined with the
+statistics by term, and no such key has more than a ``1 / COMMON`` of the postings.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpair.llm.terms import count_terms
 from quillpair.sources.shared import stage_table
 
-#: Share of the records from which a term counts as common.
-COMMON_SHARE = 1 / 2000
-_STATS = "term string, d long, g long, s double"
+#: Most terms whose statistics are broadcast.
+COMMON = 50_000
+#: What stands between terms.
+NOT_TERM = r"[^\p{L}\p{M}\p{N}]+"
 
 
-def _texts(batch: pa.RecordBatch, columns: list[str]) -> list[str]:
-    """The texts of each row as one; a line break keeps terms of different columns apart."""
-    parts = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-    return ["\n".join(x for x in row if x) for row in zip(*parts, strict=True)]
+def counted_terms(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """First aggregation, ``(key, term, c)``: occurrences of each term in the record's ``columns`` together.
 
-
-def term_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per term of ``columns``: records ``d``, occurrences ``g`` and ``s``.
-
-    Null and empty texts have no terms; an empty table gives no rows.
+    Null and empty texts have no terms, rows with a null key no record.
     """
+    texts = F.lower(F.concat_ws("\n", *(F.col(c) for c in columns)))  # a line break keeps terms of different columns apart
+    cut = df.select(F.col(key).alias("key"), texts.alias("t")).filter("key IS NOT NULL AND t <> ''").repartition("key")
+    terms = cut.select("key", F.explode(F.split("t", NOT_TERM)).alias("term")).filter("term <> ''")
+    return terms.groupBy("key", "term").agg(F.count("*").alias("c"))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, codes, count, terms = count_terms(_texts(batch, columns))
-            v = len(terms)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(terms, pa.string()),
-                    pa.array(np.bincount(codes, minlength=v).astype(np.int64)),
-                    pa.array(np.bincount(codes, count, v).astype(np.int64)),
-                    pa.array(np.bincount(codes, count * np.log(count), v).astype(float)),
-                ],
-                ["term", "d", "g", "s"],
-            )
 
-    parts = df.select(*columns).mapInArrow(partial, _STATS)
-    return parts.groupBy("term").agg(F.sum("d").alias("d"), F.sum("g").alias("g"), F.sum("s").alias("s"))
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """Second aggregation, per term: records ``d``, occurrences ``g`` and ``s``."""
+    c = F.col("c")
+    return postings.groupBy("term").agg(F.count("*").alias("d"), F.sum("c").alias("g"), F.sum(c * F.ln(c.cast("double"))).alias("s"))
 
 
 def global_weight(records: int) -> F.Column:
@@ -82,71 +67,22 @@ def score(kind: str, records: int) -> F.Column:
     raise ValueError(f"unknown score {kind!r}")
 
 
-def _score_of(kind: str, records: int, c: np.ndarray, d: np.ndarray, g: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The same scores in numpy."""
-    if kind == "frequency":
-        return c * np.log(records / d)
-    return np.log1p(c) * (1 - (np.log(g) - s / g) / (math.log(records) if records > 1 else 1.0))
-
-
 def distinctive_terms(df: DataFrame, key: str, columns: list[str], kind: str = "log_entropy", min_records: int = 1) -> DataFrame:
     """The best scored term of each record: ``(key, term, c, d, score)``.
 
     Only terms in at least ``min_records`` records take part; records without one
     are left out.  Scores are rounded to 6 decimals; of equal scores the term first
-    in code point order wins.  ``key`` has to be unique; rows with a null key are one
-    record.  Null texts have no terms; an empty table gives no rows; other columns
+    in code point order wins.  ``key`` has to be unique; rows with a null key are no
+    records.  Null texts have no terms; an empty table gives no rows; other columns
     are not read.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(columns)))
-    names = [f"t{i}" for i in range(len(columns))]
-    records = rows.count()
-    stats = stage_table(term_statistics(rows, names), "term-stats")
-    least = max(min_records, math.ceil(records * COMMON_SHARE))
-    common = {r["term"]: (r["d"], r["g"], r["s"]) for r in stats.filter(F.col("d") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(common)
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            row, code, count, terms = count_terms(_texts(batch, names))
-            d, g, s = np.array([known.get(t, (0, 1, 0.0)) for t in terms], dtype=float).reshape(-1, 3).T
-            frequent = d[code] > 0
-            own = np.zeros(len(code))
-            f = code[frequent]
-            own[frequent] = np.round(_score_of(kind, records, count[frequent], d[f], g[f], s[f]), 6)
-            keep = ~frequent
-            # of the common terms of a record: the highest score, then the first term
-            order_of = np.zeros(len(terms), np.int64)
-            for k, x in enumerate(sorted(np.flatnonzero(d > 0).tolist(), key=terms.__getitem__)):
-                order_of[x] = k
-            at = np.flatnonzero(frequent)
-            at = at[np.lexsort((order_of[code[at]], -own[at], row[at]))]
-            first = np.ones(len(at), bool)
-            first[1:] = row[at][1:] != row[at][:-1]
-            keep[at[first]] = True
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row[at])),
-                    pa.array(terms[code[at]], pa.string()),
-                    pa.array(count[at].astype(np.int32)),
-                    pa.array(np.where(frequent[at], d[code[at]], 0).astype(np.int64)),
-                    pa.array(own[at]),
-                ],
-                ["key", "term", "c", "known_d", "known_score"],
-            )
-
-    kept = rows.mapInArrow(postings, f"key {rows.schema['key'].dataType.simpleString()}, term string, c int, known_d long, known_score double")
-    # a common term is scored already: a key that no term equals keeps it out of the join and spreads it evenly
-    kept = kept.withColumn("at", F.when(F.col("known_d") > 0, F.concat(F.lit("\u0001"), F.monotonically_increasing_id())).otherwise(F.col("term")))
-    rare = stats.filter((F.col("d") < least) & (F.col("d") >= min_records)).withColumnRenamed("term", "at")
-    scored = (
-        kept.join(rare, "at", "left")
-        .filter(F.col("d").isNotNull() | (F.col("known_d") > 0))
-        .withColumn("score", F.when(F.col("known_d") > 0, F.col("known_score")).otherwise(score(kind, records)))
-        .withColumn("d", F.coalesce("d", "known_d"))
-    )
-    best = scored.groupBy("key").agg(F.min_by(F.struct("term", "c", "d", "score"), F.struct((-F.col("score")).alias("o"), "term")).alias("b"))
-    return best.select(F.col("key").alias(key), "b.term", "b.c", "b.d", "b.score")
+    records = df.filter(F.col(key).isNotNull()).count()
+    postings = stage_table(counted_terms(df, key, columns), "postings")
+    stats = stage_table(term_statistics(postings), "term-stats")
+    total = stats.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+    least = max(min_records, math.ceil(total / COMMON), 1)
+    common = F.broadcast(stats.filter(F.col("d") >= least))
+    rare = stats.filter((F.col("d") < least) & (F.col("d") >= min_records))
+    met = postings.join(common, "term").unionByName(postings.join(common, "term", "left_anti").join(rare, "term"))
+    best = F.min(F.struct((-score(kind, records)).alias("o"), "term", "c", "d")).alias("b")
+    return met.groupBy("key").agg(best).select(F.col("key").alias(key), "b.term", "b.c", "b.d", (-F.col("b.o")).alias("score"))

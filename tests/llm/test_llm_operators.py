@@ -55,7 +55,7 @@ def test_terms_match_the_definition():
 @pytest.mark.parametrize("kind", ["frequency", "log_entropy"])
 @pytest.mark.parametrize("clash", [False, True])
 def test_distinctive_terms(spark, monkeypatch, kind, clash):
-    monkeypatch.setattr(weights, "COMMON_SHARE", 1 / 20)  # both ways of scoring take part
+    monkeypatch.setattr(weights, "COMMON", 20)  # broadcast and joined terms both take part
     rows, frame = pair_table(spark, 90, 3, clash=clash)
     counts = {i: Counter(brute.terms(a) + brute.terms(b)) for i, a, b in rows}
     n = len(rows)
