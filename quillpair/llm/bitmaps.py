@@ -4,16 +4,17 @@ Vertical layout.  Records are numbered; a chunk is 32,768 consecutive numbers.
 each term and chunk there is one container: two-byte positions, or, for 2,048
 records and more, a 4,096-byte bitmap, with the occurrences counted beside it.  A
 container is about as small as its content: two bytes a record for rare terms, an
-eighth of a byte a record for terms found everywhere.
+eighth of a byte a record for terms found everywhere.  The keys of a chunk's records
+are kept beside the bitmaps, so a bitmap leads back to its records.
 
-Numbers are given by the partition that reads a record, so no two partitions share a
-chunk: the union over chunks keeps containers side by side, and the document
-frequency of a term is the sum of its containers' cardinalities.  Containers of the
-same term and chunk, from indexes built apart, are united by :func:`merge_bitmaps`.
+Containers are built in parallel, a batch of records at a time, and united by term and
+chunk; the document frequency of a term is the sum of its containers' cardinalities.
+Indexes of several tables are united in the same way: a table's name is part of the
+chunk.
 
-Scale: containers are made where the records are read, one chunk in memory at a time.
-What is shuffled for frequencies is one row for each term and partition, whatever
-the number of records that hold the term.
+Scale: no container is longer than 4 KB and no more of them come together than a chunk
+has batches, so a term found everywhere is spread over as many keys as there are
+chunks.  Frequencies are combined before their shuffle.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from quillpair.llm.terms import count_terms
 CHUNK = 32_768
 #: Most records of a container that are kept as positions; these stay shorter than a bitmap.
 DENSE = 2_047
-_INDEX = "term string, chunk long, container binary, occurrences long"
+#: Stands for a null key.
+NO_KEY = -(1 << 63)
+_INDEX = "term string, part string, chunk long, container binary, occurrences long"
 
 
 def pack(positions: np.ndarray) -> bytes:
@@ -51,39 +54,50 @@ def unpack(container: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(container, np.uint8), bitorder="little"))
 
 
-def _containers(texts: list[str | None], chunk: int) -> pa.RecordBatch:
+def _containers(texts: list[str | None], first: int, part: str, chunk: int) -> pa.RecordBatch:
+    """A container for each term of consecutive records of one chunk, of which the first has position ``first``."""
     row, code, count, terms = count_terms(texts)
     order = np.argsort(code, kind="stable")  # rows stay sorted within a term
-    row, code, count = row[order], code[order], count[order]
+    row, code, count = row[order] + first, code[order], count[order]
     start = np.flatnonzero(np.diff(code, prepend=-1))
     end = np.append(start[1:], len(code))
     low = row.astype("<u2").tobytes()
     packed = [low[2 * a : 2 * b] if b - a <= DENSE else pack(row[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
     sums = np.add.reduceat(count, start) if len(start) else np.empty(0, np.int64)
+    return _index_rows(terms[code[start]], part, chunk, packed, sums)
+
+
+def _index_rows(terms: list, part: str, chunk: int, containers: list[bytes], occurrences: np.ndarray | None) -> pa.RecordBatch:
+    n = len(containers)
+    counts = pa.nulls(n, pa.int64()) if occurrences is None else pa.array(occurrences.astype(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(terms[code[start]], pa.string()), pa.array(np.full(len(start), chunk, np.int64)), pa.array(packed, pa.binary()), pa.array(sums.astype(np.int64))],
-        ["term", "chunk", "container", "occurrences"],
+        [pa.array(terms, pa.string()), pa.array([part] * n, pa.string()), pa.array(np.full(n, chunk, np.int64)), pa.array(containers, pa.binary()), counts],
+        ["term", "part", "chunk", "container", "occurrences"],
     )
 
 
-def build_bitmaps(df: DataFrame, column: str) -> DataFrame:
-    """Index of ``column``: ``(term, chunk, container, occurrences)``, a row for each term and chunk.
+def build_bitmaps(df: DataFrame, key: str, column: str, part: str = "") -> DataFrame:
+    """Containers of ``column``: ``(term, part, chunk, container, occurrences)``, one for each term and batch of records.
 
-    Every row is a record of its own, repeated rows too.  Rows with a null or empty
-    text hold no terms.  An empty table gives an empty index.
+    A row without a term holds the keys of a batch's records, in order, as 8-byte
+    integers behind the position of the first.  Every row of ``df`` is a record of its
+    own, repeated rows too; a null key is kept as the least integer.  Rows with a null or
+    empty text hold no terms.  An empty table gives an empty index.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, waiting = TaskContext.get().partitionId() << 33, []
+        number = TaskContext.get().partitionId() << 48
         for batch in batches:
-            waiting += batch.column(0).to_pylist()
-            while len(waiting) >= CHUNK:
-                yield _containers(waiting[:CHUNK], chunk)
-                chunk, waiting = chunk + 1, waiting[CHUNK:]
-        if waiting:
-            yield _containers(waiting, chunk)
+            keys, texts = batch.column(0).fill_null(NO_KEY).to_numpy().astype("<i8"), batch.column(1).to_pylist()
+            done = 0
+            while done < len(texts):
+                chunk, first = number // CHUNK, number % CHUNK
+                some = min(len(texts) - done, CHUNK - first)
+                yield _containers(texts[done : done + some], first, part, chunk)
+                yield _index_rows([None], part, chunk, [np.array([first], "<i8").tobytes() + keys[done : done + some].tobytes()], None)
+                number, done = number + some, done + some
 
-    return df.select(column).mapInArrow(index, _INDEX)
+    return df.select(F.col(key).cast("long").alias("key"), column).mapInArrow(index, _INDEX)
 
 
 def cardinality(container: F.Column) -> F.Column:
@@ -93,26 +107,53 @@ def cardinality(container: F.Column) -> F.Column:
 
 
 def merge_bitmaps(*indexes: DataFrame) -> DataFrame:
-    """Union of indexes over the same numbering; containers of a term and chunk become one.
+    """Union of indexes: containers of a term, part and chunk become one; rows of keys stay.
 
-    Occurrences of a record that several indexes hold add up.
+    Occurrences of a record that several containers hold add up.
     """
 
     @F.pandas_udf("binary")
     def unite(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: bytes(p[0]) if len(p) == 1 else pack(np.unique(np.concatenate([unpack(x) for x in p]))))
+        return parts.map(lambda p: pack(np.unique(np.concatenate([unpack(x) for x in p]))))
 
     every = indexes[0]
     for other in indexes[1:]:
         every = every.unionByName(other)
-    # at most one container for each index comes together here
-    merged = every.groupBy("term", "chunk").agg(F.collect_list("container").alias("parts"), F.sum("occurrences").alias("occurrences"))
-    return merged.select("term", "chunk", unite("parts").alias("container"), "occurrences")
+    # at most one container for each batch of a chunk comes together here
+    merged = every.filter("term IS NOT NULL").groupBy("term", "part", "chunk").agg(F.collect_list("container").alias("parts"), F.sum("occurrences").alias("occurrences"))
+    alone = merged.filter(F.size("parts") == 1).withColumn("container", F.element_at("parts", 1))
+    united = merged.filter(F.size("parts") > 1).withColumn("container", unite("parts"))
+    names = ["term", "part", "chunk", "container", "occurrences"]
+    return alone.select(names).unionByName(united.select(names)).unionByName(every.filter("term IS NULL").select(names))
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
-    """``(term, records, occurrences)`` of an index."""
-    return index.groupBy("term").agg(F.sum(cardinality(F.col("container"))).alias("records"), F.sum("occurrences").alias("occurrences"))
+    """``(term, records, occurrences)`` of a merged index, by the cardinality of its containers."""
+    return index.filter("term IS NOT NULL").groupBy("term").agg(F.sum(cardinality(F.col("container"))).alias("records"), F.sum("occurrences").alias("occurrences"))
+
+
+def records_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, part, key)``: the records of each of ``terms`` (term), from its bitmaps and the keys beside them.
+
+    Null keys come back as null.  Repeated terms count once.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, part, container, keys = (batch.column(k).to_pylist() for k in range(4))
+            at, found = [], []
+            for k, (c, raw) in enumerate(zip(container, keys, strict=True)):
+                first, own = int(np.frombuffer(raw, "<i8", 1)[0]), np.frombuffer(raw, "<i8", offset=8)
+                place = unpack(c) - first
+                found.append(own[place[(place >= 0) & (place < len(own))]])
+                at.append(np.full(len(found[-1]), k))
+            at, found = np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *found])
+            keys = pa.array(found, mask=found == NO_KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()).take(at), pa.array(part, pa.string()).take(at), keys], ["term", "part", "key"])
+
+    wanted = index.filter("term IS NOT NULL").join(terms.select("term").distinct(), "term", "left_semi")
+    keys = index.filter("term IS NULL").select("part", "chunk", F.col("container").alias("keys"))
+    return wanted.join(keys, ["part", "chunk"]).select("term", "part", "container", "keys").mapInArrow(look, "term string, part string, key long")
 
 
 def mark_terms(frequencies: DataFrame, records: int, rare_below: int = 3, common_part: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, weights
 from quillpair.plans.shipping import shipped
+from quillpair.sources.shared import stage_table
 from quillpair.sources.tables import read_table as table
 from quillpair.sources.tables import spread
 
@@ -27,19 +28,28 @@ def p1_log_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return weights.distinctive_terms(table(spark, sf, "train"), "id", _BOTH, "log_entropy", 2)
 
 
-def _questions1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "train").select("question1").unionByName(table(spark, sf, "test").select("question1")).filter("question1 IS NOT NULL")
+def _bitmaps(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The united index of the first questions of train and test, each built apart, and the number of records."""
+    tables = [(table(spark, sf, name).filter("question1 IS NOT NULL"), key, name) for name, key in (("train", "id"), ("test", "test_id"))]
+    parts = [bitmaps.build_bitmaps(rows, key, "question1", name) for rows, key, name in tables]
+    return bitmaps.merge_bitmaps(*parts), sum(rows.count() for rows, _, _ in tables)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    texts = _questions1(spark, sf)
-    marked = bitmaps.mark_terms(bitmaps.term_frequencies(bitmaps.build_bitmaps(texts, "question1")), texts.count())
-    return marked.filter("mark IS NOT NULL").select("term", "mark")
+    return p2_frequencies(spark, sf).filter("mark IS NOT NULL").select("term", "mark")
 
 
 def p2_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    texts = _questions1(spark, sf)
-    return bitmaps.mark_terms(bitmaps.term_frequencies(bitmaps.build_bitmaps(texts, "question1")), texts.count())
+    index, records = _bitmaps(spark, sf)
+    return bitmaps.mark_terms(bitmaps.term_frequencies(index), records)
+
+
+def p2_rare_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of each rare term, looked up from its bitmaps."""
+    index, records = _bitmaps(spark, sf)
+    index = stage_table(index, "bitmaps")
+    rare = bitmaps.mark_terms(bitmaps.term_frequencies(index), records).filter("mark = 'rare'")
+    return bitmaps.records_of(index, rare)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +157,10 @@ s AS (SELECT id, term, c::INT AS c, d, round(ln(1 + c::DOUBLE) * (1 - (ln(g::DOU
 SELECT id, term, c, d, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) = 1""",
     "p2_found": f"SELECT term, mark FROM ({_FREQUENCIES}) WHERE mark IS NOT NULL",
     "p2_frequencies": _FREQUENCIES,
+    "p2_rare_records": f"""
+WITH q AS (SELECT 'train' AS part, id AS key, question1 AS q FROM train UNION ALL SELECT 'test', test_id, question1 FROM test),
+w AS (SELECT DISTINCT part, key, unnest({_TERMS.format("q")}) AS term FROM q WHERE q IS NOT NULL)
+SELECT term, part, key FROM w QUALIFY count(*) OVER (PARTITION BY term) < 3""",
     "p4_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT qid1 AS a, qid2 AS b FROM train WHERE is_duplicate = 1 AND qid1 <> qid2),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -78,7 +78,7 @@ def test_distinctive_terms(spark, monkeypatch, kind, clash):
 def test_empty_tables(spark):
     pairs = spark.createDataFrame([], "id long, question1 string, question2 string")
     assert weights.distinctive_terms(pairs, "id", ["question1"]).count() == 0
-    assert bitmaps.term_frequencies(bitmaps.build_bitmaps(pairs, "question1")).count() == 0
+    assert bitmaps.term_frequencies(bitmaps.merge_bitmaps(bitmaps.build_bitmaps(pairs, "id", "question1"))).count() == 0
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
     assert copies.collapse_copies(pairs, "id", ["question1", "question2"]).count() == 0
     assert lookalike.same_looking_pairs(pairs, "id", "question1").count() == 0
@@ -91,10 +91,11 @@ def test_empty_tables(spark):
     assert quality.document_statistics(docs, "doc_id", "text", set()).count() == 0
 
 
-def test_bitmaps(spark, monkeypatch):
+def test_bitmaps(spark):
     texts = [q for q in questions(300, 5)] + ["hot"] * 400 + ["hot hot"]
-    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
-    index = bitmaps.build_bitmaps(frame, "t")
+    rows = [(k if k % 50 else None, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "k long, t string").withColumn("term", F.lit(1)).withColumn("chunk", F.lit(2))
+    index = bitmaps.merge_bitmaps(bitmaps.build_bitmaps(frame.filter("k % 2 = 0 OR k IS NULL").repartition(3), "k", "t", "a"), bitmaps.build_bitmaps(frame.filter("k % 2 = 1"), "k", "t", "b")).persist()
     got = {r.term: (r.records, r.occurrences) for r in bitmaps.term_frequencies(index).collect()}
     records, total = Counter(), Counter()
     for t in texts:
@@ -102,6 +103,9 @@ def test_bitmaps(spark, monkeypatch):
         total.update(brute.terms(t))
     assert got == {t: (records[t], total[t]) for t in records}
     marks = {r.term: r.mark for r in bitmaps.mark_terms(bitmaps.term_frequencies(index), 100).collect()}
+    found = Counter((r.term, r.key, r.part) for r in bitmaps.records_of(index, spark.createDataFrame([("hot",), ("the",), ("the",), ("none",)], "term string")).collect())
+    assert found == Counter((w, k, "b" if k and k % 2 else "a") for k, t in rows for w in set(brute.terms(t)) & {"hot", "the"})
+    index.unpersist()
     assert marks["hot"] == "common" and marks["word1"] == "rare" and set(marks.values()) == {"rare", "common", None}
 
 
@@ -113,7 +117,7 @@ def test_containers_of_both_kinds(spark):
         assert (bitmaps.unpack(packed) == positions).all()
         frame = spark.createDataFrame([(bytearray(packed),)], "c binary")
         assert frame.select(bitmaps.cardinality(F.col("c"))).first()[0] == size
-    one, two = (spark.createDataFrame([("t", 0, bytearray(bitmaps.pack(np.arange(a, b))), 5)], "term string, chunk long, container binary, occurrences long") for a, b in ((0, 1500), (1000, 3000)))
+    one, two = (spark.createDataFrame([("t", "", 0, bytearray(bitmaps.pack(np.arange(a, b))), 5)], "term string, part string, chunk long, container binary, occurrences long") for a, b in ((0, 1500), (1000, 3000)))
     merged = bitmaps.merge_bitmaps(one, two)
     assert bitmaps.term_frequencies(merged).first()[1:] == (3000, 10)
 
