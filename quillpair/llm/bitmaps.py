@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def _containers(texts: list[str | None], first: int, part: str, chunk: int) -> p
     order = np.argsort(code, kind="stable")  # rows stay sorted within a term
     row, code, count = row[order] + first, code[order], count[order]
     start = np.flatnonzero(np.diff(code, prepend=-1))
-    end = np.append(start[1:], len(code))
+    end = np.append(start, len(code))[1:]
     low = row.astype("<u2").tobytes()
     packed = [low[2 * a : 2 * b] if b - a <= DENSE else pack(row[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
     sums = np.add.reduceat(count, start) if len(start) else np.empty(0, np.int64)
@@ -86,18 +85,18 @@ def build_bitmaps(df: DataFrame, key: str, column: str, part: str = "") -> DataF
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 48
         for batch in batches:
-            keys, texts = batch.column(0).fill_null(NO_KEY).to_numpy().astype("<i8"), batch.column(1).to_pylist()
+            numbers = batch.column(0)
+            keys, texts = batch.column(1).fill_null(NO_KEY).to_numpy(zero_copy_only=False).astype("<i8"), batch.column(2).to_pylist()
             done = 0
             while done < len(texts):
-                chunk, first = number // CHUNK, number % CHUNK
+                chunk, first = divmod(numbers[done].as_py(), CHUNK)  # numbers of a partition follow each other
                 some = min(len(texts) - done, CHUNK - first)
                 yield _containers(texts[done : done + some], first, part, chunk)
                 yield _index_rows([None], part, chunk, [np.array([first], "<i8").tobytes() + keys[done : done + some].tobytes()], None)
-                number, done = number + some, done + some
+                done += some
 
-    return df.select(F.col(key).cast("long").alias("key"), column).mapInArrow(index, _INDEX)
+    return df.select(F.monotonically_increasing_id(), F.col(key).cast("long").alias("key"), column).mapInArrow(index, _INDEX)
 
 
 def cardinality(container: F.Column) -> F.Column:
