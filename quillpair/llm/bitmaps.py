@@ -137,22 +137,24 @@ def records_of(index: DataFrame, terms: DataFrame) -> DataFrame:
     Null keys come back as null.  Repeated terms count once.
     """
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            term, part, container, keys = (batch.column(k).to_pylist() for k in range(4))
-            at, found = [], []
-            for k, (c, raw) in enumerate(zip(container, keys, strict=True)):
-                first, own = int(np.frombuffer(raw, "<i8", 1)[0]), np.frombuffer(raw, "<i8", offset=8)
-                place = unpack(c) - first
-                found.append(own[place[(place >= 0) & (place < len(own))]])
-                at.append(np.full(len(found[-1]), k))
-            at, found = np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.int64), *found])
-            keys = pa.array(found, mask=found == NO_KEY)
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()).take(at), pa.array(part, pa.string()).take(at), keys], ["term", "part", "key"])
-
-    wanted = index.filter("term IS NOT NULL").join(terms.select("term").distinct(), "term", "left_semi")
-    keys = index.filter("term IS NULL").select("part", "chunk", F.col("container").alias("keys"))
-    return wanted.join(keys, ["part", "chunk"]).select("term", "part", "container", "keys").mapInArrow(look, "term string, part string, key long")
+            chunk = batch.column(2).to_numpy() * CHUNK
+            found = [unpack(c) for c in batch.column(3).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            number = np.concatenate([np.empty(0, np.int64), *found]) + chunk[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number)], ["term", "part", "number"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, chunk, raw in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                own = np.frombuffer(raw, "<i8")
+                number = chunk * CHUNK + own[0] + np.arange(len(own) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(number), pa.string()), pa.array(number), pa.array(own[1:], mask=own[1:] == NO_KEY)], ["part", "number", "key"])
+
+    wanted = index.filter("term IS NOT NULL").join(terms.select("term").distinct(), "term", "left_semi").select("term", "part", "chunk", "container")
+    beside = index.filter("term IS NULL").select("term", "part", "chunk", "container").mapInArrow(keys, "part string, number long, key long")
+    return wanted.mapInArrow(places, "term string, part string, number long").join(beside, ["part", "number"]).select("term", "part", "key")
 
 
 def mark_terms(frequencies: DataFrame, records: int, rare_below: int = 3, common_part: int = 20) -> DataFrame:

@@ -8,8 +8,9 @@ is the smallest identifier of the component.
 
 Scale: a rewrite is an aggregation (combined before the shuffle) for the smallest
 neighbour and a join that brings it back to the edges.  A node may have a third of
-all edges, so the neighbours of a node are split over ``salts`` keys and only the
-minimum, one row for each node and salt, is sent to them; no neighbourhood is ever
+all edges.  Nodes with at least a ``1 / HUBS`` of them, of which there are at most
+``HUBS``, have their minimum broadcast, so their edges stay where they are; no other
+node brings more than a ``1 / HUBS`` of the edges to one task.  No neighbourhood is ever
 collected.  Every round's edges are written to the shared folder, so the plan of a
 round stays short and lost executors lose nothing.
 """
@@ -21,26 +22,28 @@ from pyspark.sql import functions as F
 
 from quillpair.sources.shared import drop_table, stage_table
 
-SALTS = 8
+#: Most nodes whose smallest neighbour is broadcast.
+HUBS = 20_000
 
 
-def _with_smallest(edges: DataFrame, salts: int) -> DataFrame:
-    """``edges (u, v)`` with ``m``, the smallest v of each u."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    whole = part.groupBy("u").agg(F.min("m").alias("m"))
-    return salted.join(part.select("u", "salt").join(whole, "u"), ["u", "salt"]).drop("salt")
+def _with_smallest(edges: DataFrame, most: int) -> DataFrame:
+    """``edges (u, v)`` with ``m``, the smallest v of each u; nodes of ``most`` edges or more are hubs."""
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(smallest.filter(F.col("n") >= most).select("u", F.col("m").alias("hub")))
+    known = edges.join(hubs, "u", "left")
+    others = known.filter("hub IS NULL").select("u", "v").join(smallest.filter(F.col("n") < most).select("u", "m"), "u")
+    return others.unionByName(known.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")))
 
 
-def large_star(edges: DataFrame, salts: int = SALTS) -> DataFrame:
+def large_star(edges: DataFrame, most: int) -> DataFrame:
     """Edges ``(v, m)`` for all neighbours v > u, with m the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_smallest(both, salts).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _with_smallest(both, most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame, salts: int = SALTS) -> DataFrame:
+def small_star(edges: DataFrame, most: int) -> DataFrame:
     """Edges ``(v, m)`` for all neighbours v < u, and ``(u, m)``; ``edges`` has u > v."""
-    found = _with_smallest(edges, salts)
+    found = _with_smallest(edges, most)
     moved = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
@@ -51,7 +54,7 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, salts: int = SALTS) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str, b: str, hubs: int = HUBS) -> DataFrame:
     """``(node, component)`` for each node linked to a smaller one; component is its smallest identifier.
 
     Rows with a null end and self-links link nothing.  Repeated and reversed pairs
@@ -62,8 +65,9 @@ def connected_components(pairs: DataFrame, a: str, b: str, salts: int = SALTS) -
     edges = stage_table(ends.filter("_a IS NOT NULL AND _b IS NOT NULL AND u > v").select("u", "v").distinct(), "edges")
     seen = _print_of(edges)
     while True:
-        wide = stage_table(large_star(edges, salts), "large-star")
-        narrow = stage_table(small_star(wide, salts), "small-star")
+        most = max(2, -(-2 * seen[0] // hubs))  # both rewrites see at most twice the edges
+        wide = stage_table(large_star(edges, most), "large-star")
+        narrow = stage_table(small_star(wide, most), "small-star")
         now = _print_of(narrow)
         drop_table(wide)
         drop_table(edges)

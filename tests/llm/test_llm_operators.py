@@ -122,8 +122,8 @@ def test_containers_of_both_kinds(spark):
     assert bitmaps.term_frequencies(merged).first()[1:] == (3000, 10)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "hubs"), [(1, 20_000), (2, 4)])
+def test_components(spark, seed, hubs):
     rng = random.Random(seed)
     edges = [(k, k + 1) for k in range(1000, 1100)]  # a chain
     edges += [(5000, 5001 + k) for k in range(200)]  # a hub
@@ -131,7 +131,7 @@ def test_components(spark, seed):
     rng.shuffle(edges)
     edges = [e if rng.random() < 0.5 else e[::-1] for e in edges] + edges[:20] + [(7, 7), (None, 3), (4, None)]
     frame = spark.createDataFrame(edges, "a long, b long").withColumn("u", F.lit(1)).withColumn("m", F.lit(2))
-    got = {(r.component, r.node) for r in components.connected_components(frame, "a", "b").collect()}
+    got = {(r.component, r.node) for r in components.connected_components(frame, "a", "b", hubs).collect()}
     assert got == brute.groups((a, b) for a, b in edges if a is not None and b is not None)
 
 
