@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpair.sources.shared import stage_table
+from quillpair.sources.shared import drop_table, stage_table
 
 #: All that is no letter, combining mark or number.
 NOT_TEXT = r"[^\p{L}\p{M}\p{N}]+"
@@ -78,9 +78,11 @@ def collapse_copies(records: DataFrame, key: str, fields: list[str]) -> DataFram
     """
     spark = records.sparkSession
     canon = records.select(canonical_record(fields).alias("k"), F.col(key).cast("long").alias("id")).filter("k IS NOT NULL AND id IS NOT NULL")
+    canon = stage_table(canon, "canonical")  # read twice: to sample the ranges, and to be partitioned
     place = ["start", "digest", "id"]
     sorted_ = canon.withColumns({"start": F.left("k", F.lit(16)), "digest": F.unhex(F.md5("k"))}).repartitionByRange(*place).sortWithinPartitions(*place)
     runs = stage_table(sorted_.select("k", "id").mapInArrow(_scan, _RUNS), "runs")
+    drop_table(canon)
     edges: dict[int, dict] = {}
     for r in runs.filter("edge IS NOT NULL").collect():  # two rows a partition
         part = edges.setdefault(r["part"], {})
