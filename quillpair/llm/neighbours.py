@@ -1,12 +1,14 @@
-"""Near-duplicate texts by vantage-point trees over fingerprints.
+"""Near-duplicate texts by vantage points over fingerprints.
 
 Sets of terms get fingerprints and keys (:mod:`quillpair.llm.termsets`); near sets
-share a key.  Sets of a key lie side by side after one shuffle.  Small groups are
-compared in one vectorised sweep, larger ones by a vantage-point tree whose branches
-are pruned by the triangle inequality.  A group too large for one task is cut into
-shards by the distance to a vantage point of the group: a shard is compared with
-itself and with those shards that its reach overlaps, each pair of shards in a task
-of its own.  What is found is checked on the whole sets.
+share a key.  Every key has a vantage point of its own, a fingerprint of random bits, and
+the fingerprints of a key are partitioned by their Hamming distance to it into shards.  A
+set lives in the shard of its distance and visits the shards above that its reach
+overlaps, so each pair within reach meets in one shard.  In a shard sets stand in the
+order of their distance to a second vantage point, and by the triangle inequality a set
+is only compared with those that its reach leaves.  A shard too large for one task is
+partitioned again, by a vantage point taken from its sets, each pair of parts in reach in
+a task of its own.  What is found is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,70 +21,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillpair.llm.termsets import common_terms, near, radius, set_keys, term_sets, within
-from quillpair.llm.vptree import VantageTree
 from quillpair.sources.shared import drop_table, stage_table
 
-#: Sets up to which a group is swept, and compared within one task.
-SWEPT, GROUP = 64, 60_000
-_FOUND = "a long, b long, key long, cls long, fp long, n int, side byte"
+#: Distances to a key's vantage point that make up a shard, and sets up to which a shard is compared within one task.
+BAND, GROUP = 8, 60_000
+_SECOND = np.uint64(0x9E3779B97F4A7C15)  # the second vantage point: any bits will do
+_ENTRY = ("key", "cls", "fp", "n", "side", "home")
+_KINDS = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "cls": pa.int64(), "fp": pa.int64(), "n": pa.int32(), "side": pa.int8(), "home": pa.int8()}
+FOUND = "a long, b long, key long, cls long, fp long, n int, side byte, home byte"
 
 
-def _out(columns: dict[str, np.ndarray], size: int) -> pa.RecordBatch:
-    kinds = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "cls": pa.int64(), "fp": pa.int64(), "n": pa.int32(), "side": pa.int8()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[k].astype(t.to_pandas_dtype())) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
+def found_rows(columns: dict[str, np.ndarray], size: int) -> pa.RecordBatch:
+    """Rows of ``FOUND``; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[k].astype(t.to_pandas_dtype())) if k in columns else pa.nulls(size, t) for k, t in _KINDS.items()], list(_KINDS))
 
 
-def _compare(key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets of one key within the fingerprints' bound; different sets, or sets of sides 0 and 1."""
-    start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
-    size = np.diff(np.append(start, len(key)))
+def _compare(key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, side: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different sets of one key within the fingerprints' bound, at least one at home; sets with sides only across them."""
+    u = fp.view(np.uint64)
+    far = np.bitwise_count(u ^ _SECOND)
+    order = np.lexsort((far, key))
+    key, cls, u, n, side, home, far = key[order], cls[order], u[order], n[order], side[order], home[order] == 1, far[order].astype(np.int16)
+    reach = np.minimum(radius(n), 64).astype(np.int16)
     left, right = [], []
-    swept = np.repeat(size <= SWEPT, size)
-    u, reach = fp.view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
-    for step in range(1, SWEPT):
-        i = np.flatnonzero(swept[:-step] & (key[:-step] == key[step:])) if step < len(key) else np.empty(0, np.int64)
-        if not len(i):
-            break
-        bits = np.bitwise_count(u[i] ^ u[i + step])
-        some = np.flatnonzero(bits <= reach[i])
-        i, bits = i[some], bits[some]
-        i = i[bits <= within(n[i], n[i + step])]
-        left.append(i)
-        right.append(i + step)
-    for s, z in zip(start[size > SWEPT].tolist(), size[size > SWEPT].tolist(), strict=True):
-        at = np.arange(s, s + z)
-        of, by = (at[side[at] <= 0], at) if side[s] < 0 else (at[side[at] == 0], at[side[at] == 1])
-        i, q = VantageTree(fp[of], n[of]).pairs(fp[by], n[by])
-        left.append(of[i])
-        right.append(by[q])
+    i, step = np.arange(len(key) - 1), 1
+    while len(i):
+        # distances rise within a key: what is out of reach for a set stays so for all that follow
+        j = i + step
+        inside = (key[i] == key[j]) & (far[j] - far[i] <= reach[i])
+        i, j = i[inside], j[inside]
+        bits = np.bitwise_count(u[i] ^ u[j])
+        some = np.flatnonzero((bits <= reach[i]) & (home[i] | home[j]))
+        x, y = i[some], j[some]
+        close = (bits[some] <= within(n[x], n[y])) & np.where(side[x] < 0, cls[x] != cls[y], side[x] != side[y])  # one set may stand on both sides
+        left.append(x[close])
+        right.append(y[close])
+        step += 1
+        i = i[i + step < len(key)]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, q = np.concatenate(left), np.concatenate(right)
-    keep = np.where(side[i] < 0, cls[i] != cls[q], side[i] != side[q])  # one set may stand on both sides
-    i, q = i[keep], q[keep]
-    swap = np.where(side[i] < 0, cls[i] > cls[q], side[i] > side[q])
-    a, b = np.where(swap, cls[q], cls[i]), np.where(swap, cls[i], cls[q])
+    x, y = np.concatenate(left), np.concatenate(right)
+    swap = np.where(side[x] < 0, cls[x] > cls[y], side[x] > side[y])
+    a, b = np.where(swap, cls[y], cls[x]), np.where(swap, cls[x], cls[y])
     pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
     return pair[0], pair[1]
 
 
 def _scanner(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compares the groups of a partition sorted by key; groups beyond ``limit`` pass through as they are."""
+    """Compares the shards of a partition sorted by key; shards beyond ``limit`` pass through as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        passing = None  # the key of a group that is passing through
+        passing = None  # the key of a shard that is passing through
 
         def through(rows: list[np.ndarray]) -> pa.RecordBatch:
-            return _out(dict(zip(("key", "cls", "fp", "n", "side"), rows, strict=True)), len(rows[0]))
+            return found_rows(dict(zip(_ENTRY, rows, strict=True)), len(rows[0]))
 
         def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             a, b = _compare(*rows)
             if len(a):
-                yield _out({"a": a, "b": b}, len(a))
+                yield found_rows({"a": a, "b": b}, len(a))
 
         for batch in batches:
-            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(5)]
+            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(len(_ENTRY))]
             if passing is not None:
                 more = rows[0] == passing
                 if more.any():
@@ -101,8 +102,8 @@ def _scanner(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 passing = int(rows[0][-1])
                 yield through([r[last:] for r in rows])
                 rows = [r[:last] for r in rows]
-            elif last < 200_000 and last < len(rows[0]) and len(rows[0]) < 200_000:
-                held = rows  # collect more: sweeps over many groups at once are cheaper
+            elif len(rows[0]) < 200_000:
+                held = rows  # collect more: many shards at once are cheaper
                 continue
             else:
                 held = [r[last:] for r in rows]
@@ -121,14 +122,22 @@ def _scanner(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _scan(entries: DataFrame, limit: int) -> DataFrame:
-    sides = entries.select("key", "cls", "fp", "n", "side")
-    return sides.repartition("key").sortWithinPartitions("key").mapInArrow(_scanner(limit), _FOUND)
+    return entries.select(*_ENTRY).repartition("key").sortWithinPartitions("key").mapInArrow(_scanner(limit), FOUND)
 
 
-def _shards(over: DataFrame, limit: int) -> DataFrame:
-    """Entries of large groups, cut by distance to a vantage point and sent to all pairs of shards in reach."""
-    # a group with sides (0 and 1) only pairs unlike sides
-    over = over.select("key", "cls", "fp", "n", "side").distinct()
+def _banded(entries: DataFrame) -> DataFrame:
+    """Entries in the shard of their distance to their key's vantage point, and in those above that their reach overlaps."""
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64("key")))
+    reach = F.least(F.floor(F.col("n") * 3 / 7), F.lit(64))
+    placed = entries.select("key", "cls", "fp", "n", "side", F.floor(far / BAND).cast("int").alias("first"), F.least(F.floor((far + reach) / BAND), F.lit(64 // BAND)).cast("int").alias("last"))
+    visited = placed.withColumn("shard", F.explode(F.sequence("first", "last")))
+    return visited.select(F.xxhash64("key", "shard").alias("key"), "cls", "fp", "n", "side", (F.col("shard") == F.col("first")).cast("byte").alias("home"))
+
+
+def _parted(over: DataFrame, limit: int) -> DataFrame:
+    """Entries of large shards, cut by distance to a vantage point and sent to all pairs of parts in reach."""
+    # a shard with sides (0 and 1) only pairs unlike sides
+    over = over.select(*_ENTRY).distinct()
     points = over.groupBy("key").agg(F.min_by("fp", "cls").alias("point"), F.max("n").alias("most"))
     far = over.join(points, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))))
     sizes = far.groupBy("key", "d").agg(F.ceil(F.count("*") / F.lit(max(1, limit // 4))).cast("int").alias("parts"))
@@ -140,20 +149,20 @@ def _shards(over: DataFrame, limit: int) -> DataFrame:
     mine, theirs = F.col("d") * 1_000_000 + F.col("part"), F.col("d2") * 1_000_000 + F.col("part2")
     cell = F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs))
     plain = sent.filter(F.col("side") < 0).select(
-        cell.alias("key"), "cls", "fp", "n", F.when(mine == theirs, -1).when(mine < theirs, 0).otherwise(1).cast("byte").alias("side")
+        cell.alias("key"), "cls", "fp", "n", F.when(mine == theirs, -1).when(mine < theirs, 0).otherwise(1).cast("byte").alias("side"), "home"
     )
-    # with sides, an ordered pair of shards: side 0 in the first, side 1 in the second
+    # with sides, an ordered pair of parts: side 0 in the first, side 1 in the second
     ordered = F.when(F.col("side") == 0, F.xxhash64("key", mine, theirs)).otherwise(F.xxhash64("key", theirs, mine))
-    return plain.unionByName(sent.filter(F.col("side") >= 0).select(ordered.alias("key"), "cls", "fp", "n", "side"))
+    return plain.unionByName(sent.filter(F.col("side") >= 0).select(ordered.alias("key"), "cls", "fp", "n", "side", "home"))
 
 
 def candidate_pairs(entries: DataFrame, limit: int = GROUP) -> DataFrame:
     """Distinct pairs ``(a, b)`` of sets that share a key and whose fingerprints are within the bound."""
-    found = stage_table(_scan(entries, limit), "found")
+    found = stage_table(_scan(_banded(entries), limit), "found")
     pairs = found.filter("a IS NOT NULL").select("a", "b")
     over = found.filter("a IS NULL")
     if not over.isEmpty():
-        pairs = pairs.unionByName(_scan(_shards(over, limit), 1 << 62).select("a", "b"))
+        pairs = pairs.unionByName(_scan(_parted(over, limit), 1 << 62).select("a", "b"))
     return pairs.distinct()
 
 

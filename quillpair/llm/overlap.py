@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillpair.llm.fmindex import BackwardIndex
-from quillpair.llm.neighbours import _out, _scan, _shards
+from quillpair.llm.neighbours import FOUND, candidate_pairs, found_rows
 from quillpair.llm.termsets import common_terms, near, radius, set_keys, term_sets, within
 from quillpair.sources.shared import drop_table, stage_table
 
@@ -65,12 +65,12 @@ def _searcher(limit: int):
                 zero = [np.concatenate([h[k] for h in held]) for k in range(5)] if held else None
                 if len(large):
                     wide = np.isin(zero[0], large)
-                    yield _out(dict(zip(_COLUMNS, [z[wide] for z in zero], strict=True)), int(wide.sum()))
+                    yield found_rows(dict(zip(_COLUMNS, [z[wide] for z in zero], strict=True)), int(wide.sum()))
                 held = []
             if len(large):
                 wide = np.isin(rows[0], large)
                 if wide.any():
-                    yield _out(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
+                    yield found_rows(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
                 rows = [r[~wide] for r in rows]
             key, cls, fp, n, _ = rows
             mine, theirs, reach = fp.view(np.uint64), docs[1].view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
@@ -81,7 +81,7 @@ def _searcher(limit: int):
                 close = bits[some] <= within(n[place], docs[2][document])
                 pair = np.unique(np.stack([docs[0][document[close]], cls[place[close]]]), axis=1)
                 if pair.shape[1]:
-                    yield _out({"a": pair[0], "b": pair[1]}, pair.shape[1])
+                    yield found_rows({"a": pair[0], "b": pair[1]}, pair.shape[1])
 
     return run
 
@@ -92,12 +92,12 @@ def candidate_links(evaluation: DataFrame, training: DataFrame, limit: int = GRO
     low = F.lit(-(1 << 63))
     mark = F.when(F.col("side") == 0, F.col("cls").bitwiseOR(low)).otherwise(F.col("cls"))
     both = evaluation.unionByName(training).select("key", mark.alias("cls"), "fp", "n", "place")
-    found = both.repartition("key").sortWithinPartitions("cls", "place").mapInArrow(_searcher(limit), "a long, b long, key long, cls long, fp long, n int, side byte")
+    found = both.repartition("key").sortWithinPartitions("cls", "place").mapInArrow(_searcher(limit), FOUND)
     found = stage_table(found, "links")
     pairs = found.filter("a IS NOT NULL").select("a", "b")
     over = found.filter("a IS NULL")
     if not over.isEmpty():
-        pairs = pairs.unionByName(_scan(_shards(over, limit), 1 << 62).select("a", "b"))
+        pairs = pairs.unionByName(candidate_pairs(over, limit))
     return pairs.distinct()
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, terms, termsets, vptree, weights
+from quillpair.llm import bitmaps, components, copies, encoding, lookalike, mixing, neighbours, overlap, quality, terms, termsets, weights
 from quillpair.llm.fmindex import BackwardIndex
 from quillpair.llm.lexicon import Lexicon, compile_lexicon
 
@@ -180,15 +180,20 @@ def test_near_pairs(spark, monkeypatch, limit, share):
     assert set(got) == brute.p7(dict(rows))
 
 
-def test_vantage_tree_loses_nothing():
+def test_shards_lose_nothing():
+    """All pairs within the bound of one key, of which at least one is at home; sides only across."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 30, dtype=np.int64)
     fp = np.array([b ^ (1 << int(rng.integers(62))) for b in base for _ in range(20)], np.int64)
-    fp = np.concatenate([fp, np.full(200, fp[0])])  # more equal ones than a leaf holds
-    n = rng.integers(3, 20, len(fp))
-    item, query = vptree.VantageTree(fp, n).pairs(fp, n)
-    close = vptree.bits_between(fp.view(np.uint64)[:, None], fp.view(np.uint64)[None]) <= termsets.within(n[:, None], n[None])
-    assert set(zip(item.tolist(), query.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(close))))
+    fp = np.concatenate([fp, np.full(200, fp[0])])
+    key, n, home = rng.integers(0, 3, len(fp)), rng.integers(3, 20, len(fp)), rng.integers(0, 2, len(fp))
+    cls = np.arange(len(fp))
+    close = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)[None]) <= termsets.within(n[:, None], n[None])
+    close &= (key[:, None] == key[None]) & ((home[:, None] == 1) | (home[None] == 1))
+    for sides in (np.full(len(fp), -1), rng.integers(0, 2, len(fp))):
+        a, b = neighbours._compare(key, cls, fp, n, sides, home)
+        want = close & (np.arange(len(fp))[:, None] < np.arange(len(fp))[None] if sides[0] < 0 else sides[:, None] < sides[None])
+        assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want)))) and len(a)
 
 
 def test_fingerprint_bound_holds():
