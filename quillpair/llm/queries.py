@@ -147,7 +147,29 @@ c AS (SELECT id, {_CANON.format("question1")} AS a, {_CANON.format("question2")}
 k AS (SELECT id, least(a, b) AS a, greatest(a, b) AS b FROM c WHERE a <> '' AND b <> '')
 SELECT min(id) OVER (PARTITION BY a, b) AS kept, id FROM k"""
 
+
+def _near_sql(sets: str, queries: str | None = None) -> str:
+    """Near pairs of term sets by counting the terms they share; ``sets`` and ``queries`` have k and terms."""
+    left, right = queries or sets, sets
+    return f"""
+size AS (SELECT DISTINCT k, len(s) AS n FROM (SELECT k, list_distinct(terms) AS s FROM {left} UNION ALL SELECT k, list_distinct(terms) FROM {right})),
+l AS (SELECT DISTINCT k, unnest(terms) AS t FROM {left}), r AS (SELECT DISTINCT k, unnest(terms) AS t FROM {right}),
+shared AS (SELECT l.k AS a, r.k AS b, count(*) AS c FROM l JOIN r USING (t) GROUP BY ALL),
+near AS (SELECT a, b FROM shared JOIN size x ON x.k = a JOIN size y ON y.k = b WHERE x.n >= 3 AND y.n >= 3 AND 10 * c >= 7 * (x.n + y.n - c))"""
+
+
 ORACLE_SQL = {
+    "p3_found": f"""
+WITH t1 AS (SELECT DISTINCT q AS k, {_TERMS.format("q")} AS terms FROM (SELECT question1 AS q FROM train UNION ALL SELECT question2 FROM train) WHERE q IS NOT NULL),
+t2 AS (SELECT DISTINCT q AS k, {_TERMS.format("q")} AS terms FROM (SELECT question1 AS q FROM test UNION ALL SELECT question2 FROM test) WHERE q IS NOT NULL),
+{_near_sql("t2", "t1")},
+f AS (SELECT id, question1 AS a, question2 AS b FROM train UNION ALL SELECT id, question2, question1 FROM train)
+SELECT DISTINCT f.id, e.test_id FROM f JOIN near p ON p.a = f.a JOIN test e ON e.question1 = p.b JOIN near q ON q.a = f.b AND q.b = e.question2""",
+    "p7_found": f"""
+WITH q AS (SELECT qid1 AS k, question1 AS q FROM train UNION SELECT qid2, question2 FROM train),
+t1 AS (SELECT k, {_TERMS.format("q")} AS terms FROM q WHERE q <> ''),
+{_near_sql("t1")}
+SELECT a AS qid_a, b AS qid_b FROM near WHERE a < b""",
     "p1_found": f"""{_POSTINGS},
 s AS (SELECT id, term, round(c * ln(n::DOUBLE / d), 6) AS score FROM p JOIN t USING (term), n WHERE d >= 2)
 SELECT id, term FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) = 1""",
