@@ -181,7 +181,17 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(entries).alias("e")).select("e.a", "e.b", "e.r")
 
 
+def weighted_votes(rows: DataFrame, key: str, value: str, weight: Column) -> DataFrame:
+    """``(key, vote)``: each key's value of the most weight, of ties the smallest; null values do not vote."""
+    held = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.sum(weight).alias("_weight"))
+    return held.groupBy(key).agg(F.min_by(value, F.struct((-F.col("_weight")).alias("w"), value)).alias("vote"))
+
+
 def summary(rows: DataFrame, column: str) -> DataFrame:
-    """``count, mean, std, min, max`` of a column's values that are neither null nor NaN."""
+    """``count, mean, std, min, q25, q50, q75, max`` of a column's values that are neither null nor NaN.
+
+    Quartiles are exact, interpolated between neighbours; a partial aggregate holds the
+    distinct values it has seen.
+    """
     v = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    return rows.agg(F.count(v).alias("count"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return rows.agg(F.count(v).alias("count"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("min"), *(F.round(F.percentile(v, q), 6).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))), F.max(v).alias("max"))

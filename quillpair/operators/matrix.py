@@ -53,6 +53,12 @@ def best_features(importance: DataFrame, k: int) -> list[str]:
     return [r["feature"] for r in importance.orderBy(F.desc("score"), "feature").limit(k).collect()]
 
 
+def find_features(scores: DataFrame, part: str) -> DataFrame:
+    """``(feature, score, rank)`` of the features whose name contains ``part``; rank 1 is the highest score, of equal ones the first name."""
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "feature"))  # a row for each column of a matrix
+    return scores.select("feature", "score", place.alias("rank")).filter(F.col("feature").contains(part))
+
+
 def bucket_flags(rows: DataFrame, column: str, cuts: int = 3) -> DataFrame:
     """``column`` replaced by flags for 0, 1, ... and ``cuts`` or more."""
     flags = {f"{column}_{i}": F.col(column) == i for i in range(cuts)} | {f"{column}_{cuts}": F.col(column) >= cuts}

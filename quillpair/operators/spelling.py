@@ -33,6 +33,22 @@ def one_edit(word: str) -> set[str]:
     return out
 
 
+def one_edits(words_: DataFrame) -> DataFrame:
+    """``(word, edit)``: the same for a table of words, distinct; the empty word has only insertions."""
+    w, n = F.col("word"), F.length("word")
+    letters = F.array(*map(F.lit, sorted(_LETTERS)))
+    cut = lambda a, size: w.substr(a, size)
+    end, one = F.lit(1 << 30), F.lit(1)
+    places = F.when(n > 0, F.sequence(one, n)).otherwise(F.array().cast("array<int>"))
+    made = F.concat(
+        F.transform(places, lambda i: F.concat(cut(one, i - 1), cut(i + 1, end))),
+        F.transform(F.filter(places, lambda i: i < n), lambda i: F.concat(cut(one, i - 1), cut(i + 1, one), cut(i, one), cut(i + 2, end))),
+        F.flatten(F.transform(places, lambda i: F.transform(letters, lambda c: F.concat(cut(one, i - 1), c, cut(i + 1, end))))),
+        F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(letters, lambda c: F.concat(cut(one, i), c, cut(i + 1, end))))),
+    )
+    return words_.select("word").filter("word IS NOT NULL").distinct().select("word", F.explode(F.array_distinct(made)).alias("edit"))
+
+
 def edits_between(a: str, b: str, most: int = 2) -> int:
     """Edits from a to b, swaps of neighbours being one, also with letters put in between; ``most`` + 1 if more."""
     if abs(len(a) - len(b)) > most:
@@ -76,17 +92,18 @@ def _with_forms(words_: DataFrame, column: str, most: int) -> DataFrame:
     return words_.mapInPandas(run, f"{schema}, form string")
 
 
-def corrections(tokens: DataFrame, dictionary: DataFrame, most: int = 2, longest: int = 30) -> DataFrame:
+def corrections(tokens: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """``(token, correction)`` of each distinct token that the dictionary lacks and that has a correction.
 
     ``tokens``: token; ``dictionary``: word, rank (0 the best; of repeated words the best
-    rank counts).  Tokens longer than ``longest`` characters are no words and stay as
-    they are, whatever the dictionary holds.
+    rank counts).  Tokens longer by more than ``most`` letters than the dictionary's longest
+    word have no correction and are not looked up.
     """
     words_ = dictionary.filter("word IS NOT NULL").groupBy("word").agg(F.min("rank").alias("rank"))
+    longest = (words_.agg(F.max(F.length("word"))).first()[0] or 0) + most
     unknown = tokens.filter((F.col("token") != "") & (F.length("token") <= longest)).select("token").distinct()
     unknown = unknown.join(words_.select(F.col("word").alias("token")), "token", "left_anti")
-    met = _with_forms(unknown, "token", most).join(_with_forms(words_.filter(F.length("word") <= longest + most), "word", most), "form").select("token", "word", "rank").distinct()
+    met = _with_forms(unknown, "token", most).join(_with_forms(words_, "word", most), "form").select("token", "word", "rank").distinct()
 
     @F.pandas_udf("int")
     def gap(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -16,6 +16,7 @@ from quillpair.functions import edit, grams, numeric, text
 from quillpair.functions import similarity as sim
 from quillpair.functions import vectors as vec
 from quillpair.operators import corpus, embed, features, lsa, matrix, models, ranking, spelling
+from quillpair.plans import extraction
 from quillpair.plans import sql as S
 from quillpair.plans.shipping import shipped
 from quillpair.sources import io
@@ -88,11 +89,46 @@ def io_csv(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({q: F.when(F.col(q) != "", F.col(q)) for q in ("question1", "question2")})
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) AS norm FROM embeddings")
+_UNIT = "SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings"
+
+
+@query(f"WITH u AS ({_UNIT}) SELECT vec_id, round(e[1] / norm, 6) AS first, round(e[64] / norm, 6) AS last, round(list_sum(e) / norm, 6) AS total FROM u")
 def io_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors scaled to length 1, and their lengths."""
+    """Vectors scaled to length 1: their first and last number and their sum."""
     rows = table(spark, sf, "embeddings").select("vec_id", vec.unit(F.col("embedding")).alias("v"))
-    return rows.select("vec_id", F.round(F.sqrt(vec.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+    return rows.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 64), 6).alias("last"), F.round(vec.total(F.col("v")), 6).alias("total"))
+
+
+@query(f"WITH u AS ({_UNIT}) SELECT 'w' || vec_id AS word, vec_id AS rank, round(list_sum(e) / norm, 6) AS total FROM u")
+def io_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of word vectors, written and read again at length 1."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    io.write_matrix(table(spark, sf, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("vec_id").alias("rank"), F.col("embedding").alias("vec")), path)
+    return io.read_vectors(spark, path, normalised=True).select("word", "rank", F.round(vec.total(F.col("vec")), 6).alias("total"))
+
+
+@query("SELECT id, fold FROM folds")
+def io_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds, written and read again."""
+    path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
+    io.write_matrix(table(spark, sf, "folds").select("id", "fold"), path)
+    return io.read_matrix(spark, path)
+
+
+@query("SELECT id, true AS same FROM train WHERE is_duplicate IS NOT NULL")
+def io_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a model that was saved and loaded again predicts each labelled row as before."""
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _model_rows(spark, sf)
+    data = ranking.assembled(rows, _inputs(rows), "is_duplicate")
+    model = LogisticRegression(maxIter=10).fit(data)
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    io.save_model(model, path)
+    again = io.load_model(LogisticRegressionModel, path)
+    of = lambda m, name: m.transform(data).select("id", vector_to_array("probability")[1].alias(name))
+    return of(model, "one").join(of(again, "two"), "id").select("id", (F.col("one") == F.col("two")).alias("same"))
 
 
 @query("SELECT id, question1, is_duplicate FROM train")
@@ -161,20 +197,35 @@ def tx_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return question_texts(all_pairs(spark, sf)).groupBy("text").agg(F.count("*").alias("rows"))
 
 
+_SPELLING = f"""{S.PAIRS}, v AS (SELECT split, id, {S.base_view("question1")} AS question1, {S.base_view("question2")} AS question2 FROM pairs),
+tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.words("question1")}) AS token FROM v UNION ALL SELECT unnest({S.words("question2")}) FROM v) GROUP BY 1),
+dictionary AS (SELECT token AS word, -n AS rank FROM tokens WHERE n >= 20 AND regexp_matches(token, '^[a-z]+$')),
+unknown AS (SELECT token, regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g') AS plain FROM tokens WHERE token NOT IN (SELECT word FROM dictionary)),
+near AS (SELECT token, word, rank, damerau_levenshtein(plain, word) AS gap FROM unknown JOIN dictionary ON abs(length(plain) - length(word)) <= 2),
+found AS (SELECT token, word AS correction FROM near WHERE gap <= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY gap, rank, word) = 1)"""
+
+
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked dictionary: words of letters in at least 20 questions, the most frequent first."""
     counts = corpus.token_counts(question_texts(_both(all_pairs(spark, sf), text.view("tokenize")))).filter(F.col("n") >= 20)
     return counts.filter(F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("word"), (-F.col("n")).alias("rank"))
 
 
-@query()
+@query(f"WITH {_SPELLING} SELECT token, correction FROM found")
 def tx_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections of all words of the corpus by the dictionary of its frequent words."""
     tokens = corpus.token_counts(question_texts(_both(all_pairs(spark, sf), text.view("tokenize"))))
     return spelling.corrections(tokens, _dictionary(spark, sf))
 
 
-@query()
+def _corrected_sql(q: str) -> str:
+    return f"SELECT split, id, string_agg(coalesce(correction, token), ' ' ORDER BY i) AS {q} FROM (SELECT split, id, unnest(range(1, len({S.words(q)}) + 1)) AS i, unnest({S.words(q)}) AS token FROM v) LEFT JOIN found USING (token) GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH {_SPELLING}, a AS ({_corrected_sql("question1")}), b AS ({_corrected_sql("question2")})
+SELECT split, id, coalesce(a.question1, '') AS question1, coalesce(b.question2, '') AS question2 FROM pairs LEFT JOIN a USING (split, id) LEFT JOIN b USING (split, id)"""
+)
 def tx_corrected(spark: SparkSession, sf: str) -> DataFrame:
     """Both questions of all pairs with their words corrected, up to two edits."""
     rows = stage_table(_both(all_pairs(spark, sf), text.view("tokenize")).withColumn("row", F.monotonically_increasing_id()), "corrected")
@@ -183,45 +234,61 @@ def tx_corrected(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(spelling.correct_texts(rows, ["row"], "question2", found), "row").drop("row")
 
 
+@query(
+    f"""WITH {_SPELLING}, l AS (SELECT list_transform(range(97, 123), lambda c: chr(c::INT)) AS letters),
+e AS (SELECT word, unnest(list_distinct(flatten([
+  list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)),
+  list_transform(range(1, length(word)), lambda i: left(word, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2)),
+  flatten(list_transform(range(1, length(word) + 1), lambda i: list_transform(letters, lambda c: left(word, i - 1) || c || substr(word, i + 1)))),
+  flatten(list_transform(range(0, length(word) + 1), lambda i: list_transform(letters, lambda c: left(word, i) || c || substr(word, i + 1))))]))) AS edit FROM dictionary, l)
+SELECT word, edit FROM e"""
+)
+def tx_one_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """All forms one edit away from each word of the dictionary."""
+    return spelling.one_edits(_dictionary(spark, sf))
+
+
 # n-grams
 
 
+def _of_both(spark: SparkSession, sf: str, cut, **changes) -> DataFrame:
+    """``split, id`` and each change of both questions' tokens, with 1 or 2 behind its name; tokens are columns."""
+    rows = _pairs(spark, sf).select("split", "id", *(cut(F.col(f"question{k}")).alias(f"w{k}") for k in "12"))
+    return rows.select("split", "id", *(f(F.col(f"w{k}")).alias(f"{n}{k}") for k in "12" for n, f in changes.items()))
+
+
 @query(
-    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w FROM pairs)
-SELECT split, id, array_to_string({S.bigrams("w")}, ' ') AS bigrams, array_to_string({S.trigrams("w")}, ' ') AS trigrams FROM w"""
+    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w1, {S.words("question2")} AS w2 FROM pairs)
+SELECT split, id, """ + ", ".join(f"array_to_string({S.bigrams(f'w{k}')}, ' ') AS bigrams{k}, array_to_string({S.trigrams(f'w{k}')}, ' ') AS trigrams{k}" for k in "12") + " FROM w"
 )
 def ng_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
-    return rows.select("split", "id", F.array_join(grams.bigrams(F.col("w")), " ").alias("bigrams"), F.array_join(grams.trigrams(F.col("w")), " ").alias("trigrams"))
+    return _of_both(spark, sf, text.words, bigrams=lambda w: F.array_join(grams.bigrams(w), " "), trigrams=lambda w: F.array_join(grams.trigrams(w), " "))
 
 
 @query(
-    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.characters("question1")} AS w FROM pairs)
-SELECT split, id, len(w)::INT AS unigrams, array_to_string({S.bigrams("w")}, ' ') AS bigrams, array_to_string({S.trigrams("w")}, ' ') AS trigrams FROM w"""
+    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.characters("question1")} AS w1, {S.characters("question2")} AS w2 FROM pairs)
+SELECT split, id, """ + ", ".join(f"len(w{k})::INT AS unigrams{k}, array_to_string({S.bigrams(f'w{k}')}, ' ') AS bigrams{k}, array_to_string({S.trigrams(f'w{k}')}, ' ') AS trigrams{k}" for k in "12") + " FROM w"
 )
 def ng_characters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pairs(spark, sf).select("split", "id", grams.characters(F.col("question1")).alias("w"))
-    return rows.select("split", "id", F.size("w").alias("unigrams"), F.array_join(grams.bigrams(F.col("w")), " ").alias("bigrams"), F.array_join(grams.trigrams(F.col("w")), " ").alias("trigrams"))
+    return _of_both(spark, sf, grams.characters, unigrams=F.size, bigrams=lambda w: F.array_join(grams.bigrams(w), " "), trigrams=lambda w: F.array_join(grams.trigrams(w), " "))
 
 
 @query(
-    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w FROM pairs)
-SELECT split, id, array_to_string(CASE WHEN len(w) > 1 THEN flatten(list_transform(range(1, len(w)), lambda i: list_transform(list_filter([1, 2], lambda k: i + k <= len(w)), lambda k: w[i] || '_' || w[i + k]))) ELSE w END, ' ') AS skipped FROM w"""
+    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w1, {S.words("question2")} AS w2 FROM pairs)
+SELECT split, id, """ + ", ".join(f"array_to_string({S.skip_bigrams(f'w{k}')}, ' ') AS pairs{k}, array_to_string({S.skip_trigrams(f'w{k}')}, ' ') AS triples{k}" for k in "12") + " FROM w"
 )
 def ng_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of words next to each other or with one word between."""
-    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
-    return rows.select("split", "id", F.array_join(grams.bigrams(F.col("w"), skip=1), " ").alias("skipped"))
+    """Pairs and triples of words next to each other or with one word between."""
+    return _of_both(spark, sf, text.words, pairs=lambda w: F.array_join(grams.bigrams(w, skip=1), " "), triples=lambda w: F.array_join(grams.trigrams(w, skip=1), " "))
 
 
 @query(
-    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w FROM pairs)
-SELECT split, id, len(list_distinct(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])))::INT AS word_pairs FROM w"""
+    f"""WITH {S.PAIRS}, w AS (SELECT split, id, {S.words("question1")} AS w1, {S.words("question2")} AS w2 FROM pairs)
+SELECT split, id, """ + ", ".join(f"len(list_distinct(list_transform(range(1, len(w{k})), lambda i: [w{k}[i], w{k}[i + 1]])))::INT AS word_pairs{k}" for k in "12") + " FROM w"
 )
 def ng_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct pairs of neighbouring words of the first question."""
-    rows = _pairs(spark, sf).select("split", "id", text.words(F.col("question1")).alias("w"))
-    return rows.select("split", "id", F.size(grams.word_pairs(F.col("w"))).alias("word_pairs"))
+    """Distinct pairs of neighbouring words of each question."""
+    return _of_both(spark, sf, text.words, word_pairs=lambda w: F.size(grams.word_pairs(w)))
 
 
 # similarities
@@ -252,14 +319,14 @@ def ss_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ss_compression(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(train_pairs(spark, sf))
-    return rows.select("id", F.round(edit.lzma_ratio(F.coalesce("question1", F.lit("")), F.coalesce("question2", F.lit(""))), 6).alias("ratio"))
+    rows = _pairs(spark, sf)
+    return rows.select("split", "id", F.round(edit.lzma_ratio(F.coalesce("question1", F.lit("")), F.coalesce("question2", F.lit(""))), 6).alias("ratio"))
 
 
 @query()
 def ss_common_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _both(train_pairs(spark, sf), text.view("tokenize"))
-    return rows.select("id", edit.longest_common_words(F.col("question1"), F.col("question2")).alias("c")).select("id", "c.length", "c.left1", "c.left2")
+    rows = _both(_pairs(spark, sf), text.view("tokenize"))
+    return rows.select("split", "id", edit.longest_common_words(F.col("question1"), F.col("question2")).alias("c")).select("split", "id", "c.length", "c.left1", "c.left2")
 
 
 # vectors
@@ -314,8 +381,8 @@ def fe_text_stopword(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fe_text_edits(spark: SparkSession, sf: str) -> DataFrame:
-    """All six kinds of grams of the training pairs with both edit ratios: 36 columns."""
-    return features.gram_features(features.with_view(spread(train_pairs(spark, sf)), "lemmatized_stemmed"), "lemmatized_stemmed")
+    """All six kinds of grams of all pairs with both edit ratios: 36 columns."""
+    return features.gram_features(features.with_view(_pairs(spark, sf), "lemmatized_stemmed"), "lemmatized_stemmed")
 
 
 @query()
@@ -410,7 +477,43 @@ def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return embed.pseudo_vectors(vocab, table(spark, sf, "embeddings"))
 
 
-@query()
+def _moment_sql(v: str, power: int) -> str:
+    m = f"(list_sum({v}) / 64)"
+    top, low = (f"(list_sum(list_transform({v}, lambda x: ({x}) ** {k})) / 64)" for k, x in ((power, f"x - {m}"), (2, f"x - {m}")))
+    return S.divide(top, f"{low} * {'sqrt(' + low + ')' if power == 3 else low}")
+
+
+def _zip_sql(expression: str) -> str:
+    return f"list_sum(list_transform(z, lambda p: {expression}))"
+
+
+_DISTANCE_SQL = {
+    "cosine": S.divide(_zip_sql("p[1] * p[2]"), f"sqrt({_zip_sql('p[1] * p[1]')}) * sqrt({_zip_sql('p[2] * p[2]')})"),
+    "jaccard": S.divide("len(list_filter(z, lambda p: p[1] <> p[2] AND (p[1] <> 0 OR p[2] <> 0)))", "len(list_filter(z, lambda p: p[1] <> 0 OR p[2] <> 0))"),
+    "canberra": _zip_sql("CASE WHEN abs(p[1]) + abs(p[2]) = 0 THEN 0 ELSE abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) END"),
+    "cityblock": _zip_sql("abs(p[1] - p[2])"), "euclidean": f"sqrt({_zip_sql('(p[1] - p[2]) * (p[1] - p[2])')})",
+    "minkowski": f"cbrt({_zip_sql('abs(p[1] - p[2]) ** 3')})", "braycurtis": S.divide(_zip_sql("abs(p[1] - p[2])"), _zip_sql("abs(p[1] + p[2])")),
+}
+
+
+@query(
+    f"""WITH {S.PAIRS}, {S.TEXTS}, tok AS (SELECT unnest({S.words("text")}) AS token FROM texts), c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1),
+v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM c),
+e AS (SELECT token, embedding FROM v JOIN embeddings ON vec_id = token_id % (SELECT count(*) FROM embeddings)),
+d AS (SELECT DISTINCT coalesce(text, '') AS text FROM texts), t AS (SELECT text, unnest({S.words("text")}) AS token FROM d),
+x AS (SELECT text, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM t JOIN e USING (token)),
+n AS (SELECT text, count(*) AS n FROM t JOIN e USING (token) GROUP BY 1),
+s AS (SELECT text, i, sum(x) / (any_value(n.n) + 1) AS x FROM x JOIN n USING (text) GROUP BY 1, 2),
+l AS (SELECT text, list(x ORDER BY i) AS v FROM s GROUP BY 1),
+z0 AS (SELECT list_transform(range(64), lambda i: 0.0::DOUBLE) AS zero),
+j AS (SELECT p.split, p.id, coalesce(a.v, zero) AS a, coalesce(b.v, zero) AS b FROM pairs p CROSS JOIN z0 LEFT JOIN l a ON a.text = coalesce(p.question1, '') LEFT JOIN l b ON b.text = coalesce(p.question2, '')),
+k AS (SELECT *, list_zip(a, b) AS z FROM j)
+SELECT split, id, """
+    + ", ".join(f"round({_moment_sql(v, p)}{'' if p == 3 else ' - CASE WHEN list_max(' + v + ') = list_min(' + v + ') THEN 0 ELSE 3 END'}, 6) AS origin_uniwords_{q}_{n}" for n, p in (("skew", 3), ("kurtosis", 4)) for q, v in (("q1", "a"), ("q2", "b")))
+    + ", "
+    + ", ".join(f"round({x}, 6) AS origin_uniwords_{n}_distance" for n, x in _DISTANCE_SQL.items())
+    + " FROM k"
+)
 def fe_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return embed.vector_features(all_pairs(spark, sf), _word_vectors(spark, sf), 64, "origin")
 
@@ -433,7 +536,7 @@ def vd_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fe_movers(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = features.with_view(train_pairs(spark, sf), "stopword")
+    pairs = features.with_view(_pairs(spark, sf), "stopword")
     return embed.movers_features(pairs, embed.pseudo_vectors(corpus.vocabulary(question_texts(pairs)), table(spark, sf, "embeddings")), "stopword")
 
 
@@ -474,19 +577,29 @@ def ag_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_VOCAB}, t AS (SELECT split, id, {S.words("question1")} AS w FROM pairs), u AS (SELECT split, id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS token FROM t),
-j AS (SELECT split, id, string_agg(coalesce(token_id, 0)::VARCHAR, ',' ORDER BY i) AS ids FROM u LEFT JOIN v USING (token) GROUP BY 1, 2) SELECT p.split, p.id, coalesce(ids, '') AS ids FROM pairs p LEFT JOIN j USING (split, id)"""
+    f"""WITH {_VOCAB}, t AS (SELECT split, id, 1 AS side, {S.words("question1")} AS w FROM pairs UNION ALL SELECT split, id, 2, {S.words("question2")} FROM pairs), u AS (SELECT split, id, side, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS token FROM t),
+j AS (SELECT split, id, side, string_agg(coalesce(token_id, 0)::VARCHAR, ',' ORDER BY i) AS ids FROM u LEFT JOIN v USING (token) GROUP BY 1, 2, 3) SELECT split, id, t.side, coalesce(ids, '') AS ids FROM t LEFT JOIN j USING (split, id, side)"""
 )
 def ag_numerize(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the words of both questions, a row for each."""
     pairs = _pairs(spark, sf)
-    ids = corpus.numerize(pairs, ["split", "id"], "question1", corpus.vocabulary(question_texts(pairs)))
-    return ids.select("split", "id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    texts = pairs.select("split", "id", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"question{k}").alias("text")) for k in (1, 2)))).alias("q")).select("split", "id", "q.side", "q.text")
+    ids = corpus.numerize(texts, ["split", "id", "side"], "text", corpus.vocabulary(question_texts(pairs)))
+    return ids.select("split", "id", "side", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {_VOCAB} SELECT token, n, token_id FROM v")
+def io_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary, written and read again."""
+    path = f"{shared_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
+    io.write_matrix(ag_vocabulary(spark, sf), path)
+    return io.read_matrix(spark, path, ["token", "n", "token_id"])
 
 
 @query()
 def ag_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """A vector for each word of the vocabulary: known ones as given, else seeded normal numbers."""
-    vocab = corpus.vocabulary(question_texts(train_pairs(spark, sf)))
+    vocab = corpus.vocabulary(question_texts(all_pairs(spark, sf)))
     known = embed.pseudo_vectors(vocab.filter("n >= 5"), table(spark, sf, "embeddings"))
     joined = vocab.join(known.withColumnRenamed("word", "token"), "token", "left")
     return joined.select("token", "token_id", F.coalesce(F.col("vec").cast("array<double>"), F.array(*(F.randn(i) for i in range(64)))).alias("vec"))
@@ -582,6 +695,32 @@ def fm_votes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round(numeric.finite_mean(F.col("v")), 6).alias("mean"), numeric.majority(F.col("v")).alias("majority"), F.round(numeric.expected_class(F.array(1 - numeric.finite_mean(F.col("v")), numeric.finite_mean(F.col("v")))) - 1, 6).alias("share"))
 
 
+@query(
+    """WITH s AS (SELECT id, is_duplicate::DOUBLE AS v, sum(coalesce(annotator, 0) + 1.0) AS w FROM pair_labels WHERE is_duplicate IS NOT NULL GROUP BY ALL)
+SELECT id, v AS vote FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, v) = 1"""
+)
+def fm_weighted_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of the most weight on each pair, annotators weighing one more than their number."""
+    rows = table(spark, sf, "pair_labels").select("id", F.col("is_duplicate").cast("double").alias("is_duplicate"), "annotator")
+    return corpus.weighted_votes(rows, "id", "is_duplicate", F.coalesce("annotator", F.lit(0)) + 1.0)
+
+
+@query(
+    """WITH p AS (SELECT test_id, is_duplicate AS p FROM submission WHERE is_duplicate >= 0 AND is_duplicate <= 1)
+SELECT test_id, round(exp(p) / (exp(p) + exp(1 - p)), 6) AS softmax, round(-(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END + CASE WHEN p < 1 THEN (1 - p) * ln(1 - p) ELSE 0 END) + 0.0, 6) AS entropy FROM p"""
+)
+def fm_softmax_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Softmax and entropy of a prediction and its complement."""
+    rows = table(spark, sf, "submission").filter("is_duplicate >= 0 AND is_duplicate <= 1").select("test_id", F.array("is_duplicate", 1 - F.col("is_duplicate")).alias("p"))
+    return rows.select("test_id", F.round(F.element_at(numeric.softmax(F.col("p")), 1), 6).alias("softmax"), F.round(numeric.entropy(F.col("p")), 6).alias("entropy"))
+
+
+@query("SELECT id, (is_duplicate = 0)::INT AS label_0, (is_duplicate = 1)::INT AS label_1 FROM train")
+def fm_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    hot = table(spark, sf, "train").select("id", numeric.one_hot(F.col("is_duplicate"), 2).alias("hot"))
+    return hot.select("id", *(F.element_at("hot", k + 1).alias(f"label_{k}") for k in (0, 1)))
+
+
 @query(
     f"""WITH {S.MAGIC}, r AS (SELECT i FROM range(20) t(i)), t AS (SELECT m.shared, t.is_duplicate AS y, least(m.q1, m.q2)::DOUBLE AS p FROM train t JOIN magic m ON m.id = t.id AND m.split = 'train')
 SELECT i, count(shared) AS rows, coalesce(sum(y), 0)::BIGINT AS positives, round(coalesce(avg(p), 0), 6) AS mean_prediction FROM r LEFT JOIN t ON t.shared > i GROUP BY i"""
@@ -599,7 +738,7 @@ def ag_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.correlations(_features(spark, sf), _CORR)
 
 
-@query("SELECT count(is_duplicate) AS count, round(avg(is_duplicate), 6) AS mean, round(stddev_samp(is_duplicate), 6) AS std, min(is_duplicate) AS min, max(is_duplicate) AS max FROM submission WHERE NOT isnan(is_duplicate)")
+@query("SELECT count(is_duplicate) AS count, round(avg(is_duplicate), 6) AS mean, round(stddev_samp(is_duplicate), 6) AS std, min(is_duplicate) AS min, round(quantile_cont(is_duplicate, 0.25), 6) AS q25, round(quantile_cont(is_duplicate, 0.5), 6) AS q50, round(quantile_cont(is_duplicate, 0.75), 6) AS q75, max(is_duplicate) AS max FROM submission WHERE NOT isnan(is_duplicate)")
 def ag_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.summary(table(spark, sf, "submission"), "is_duplicate")
 
@@ -638,6 +777,15 @@ def fm_best(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+@query(
+    f"""WITH {S.FEATURES}, known AS (SELECT * FROM features WHERE is_duplicate IS NOT NULL), r AS ({_F_SQL}), scores AS (SELECT feature, coalesce(r * r / (1 - r * r) * (n - 2), 0) AS score FROM r),
+ranked AS (SELECT feature, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM scores) SELECT feature, rank FROM ranked WHERE contains(feature, 'magic')"""
+)
+def fm_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranks of the features with ``magic`` in their name."""
+    return matrix.find_features(matrix.correlation_scores(_features(spark, sf), "is_duplicate", FEATURES), "magic").select("feature", "rank")
+
+
 @query()
 def fr_simple(spark: SparkSession, sf: str) -> DataFrame:
     """Least squares, ridge, lasso, correlation and stability, with their mean."""
@@ -713,6 +861,14 @@ def ml_bagged(spark: SparkSession, sf: str) -> DataFrame:
     return models.bagged(rows, test, "id", _inputs(rows), "is_duplicate", "fold", "logistic")
 
 
+@query()
+def ml_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """One model of all labelled rows, and its prediction for every row of test."""
+    rows = _model_rows(spark, sf)
+    test = matrix.symmetrise(matrix.clean(_features(spark, sf, "test").drop("is_duplicate"), ["id"]), ["id"])
+    return models.refit(rows, test, "id", _inputs(rows), "is_duplicate", "boosting", {"maxIter": 10})
+
+
 @query()
 def ml_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf)
@@ -761,6 +917,27 @@ def ml_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return models.evaluate(rows).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
+# runs of extractors
+
+
+@query("WITH n AS (SELECT (SELECT count(*) FROM train) + (SELECT count(*) FROM test) AS n) SELECT view, extractor, columns, n AS rows FROM n, (VALUES ('tokenize', 'grams', 26), ('tokenize', 'fuzzy', 5), ('stopword', 'grams', 26), ('stopword', 'fuzzy', 5)) t(view, extractor, columns)")
+def or_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Two views by two extractors, written as tables; their columns and rows."""
+    written = extraction.extract(_pairs(spark, sf), f"{shared_dir(spark)}/features-{uuid.uuid4().hex}", "tokenize, stopword", "grams, fuzzy")
+    sizes = [(r["view"], r["extractor"], len(t.columns), t.count()) for r in written.collect() for t in [io.read_matrix(spark, r["path"])]]
+    return spark.createDataFrame(sizes, "view string, extractor string, columns int, rows long")
+
+
+@query("WITH n AS (SELECT (SELECT count(*) FROM train) + (SELECT count(*) FROM test) AS n) SELECT n AS rows, 46 AS columns FROM n")
+def or_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Two views by two tables of word vectors, written and put side by side."""
+    vecs = stage_table(_word_vectors(spark, sf), "word-vectors")
+    tables = {"plain": vecs, "unit": embed.unit_vectors(vecs)}
+    written = extraction.extract_vectors(all_pairs(spark, sf), f"{shared_dir(spark)}/features-{uuid.uuid4().hex}", "tokenize, stopword", tables, 64)
+    every = extraction.joined(written, ["split", "id"])
+    return every.agg(F.count("*").alias("rows"), F.lit(len(every.columns)).alias("columns"))
+
+
 # streams
 
 

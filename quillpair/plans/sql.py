@@ -65,6 +65,17 @@ def trigrams(a: str) -> str:
     return f"CASE WHEN len({a}) > 2 THEN list_transform(range(1, len({a}) - 1), lambda i: {a}[i] || '_' || {a}[i + 1] || '_' || {a}[i + 2]) ELSE {bigrams(a)} END"
 
 
+def skip_bigrams(a: str) -> str:
+    """Pairs of tokens with at most one between."""
+    return f"CASE WHEN len({a}) > 1 THEN flatten(list_transform(range(1, len({a})), lambda i: list_transform(list_filter([1, 2], lambda k: i + k <= len({a})), lambda k: {a}[i] || '_' || {a}[i + k]))) ELSE {a} END"
+
+
+def skip_trigrams(a: str) -> str:
+    steps = "[[1, 1], [1, 2], [2, 1], [2, 2]]"
+    triples = f"flatten(list_transform(range(1, len({a}) - 1), lambda i: list_transform(list_filter({steps}, lambda k: i + k[1] + k[2] <= len({a})), lambda k: {a}[i] || '_' || {a}[i + k[1]] || '_' || {a}[i + k[1] + k[2]])))"
+    return f"CASE WHEN len({a}) > 2 THEN {triples} ELSE {skip_bigrams(a)} END"
+
+
 def divide(x: str, y: str) -> str:
     return f"CASE WHEN ({y}) = 0 OR ({y}) IS NULL OR ({x}) IS NULL THEN 0.0 ELSE ({x})::DOUBLE / ({y}) END"
 
