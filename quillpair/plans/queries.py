@@ -706,7 +706,7 @@ def fm_weighted_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT test_id, is_duplicate AS p FROM submission WHERE is_duplicate >= 0 AND is_duplicate <= 1)
+    """WITH p AS (SELECT test_id, is_duplicate AS p FROM submission WHERE NOT isnan(is_duplicate) AND is_duplicate >= 0 AND is_duplicate <= 1)
 SELECT test_id, round(exp(p) / (exp(p) + exp(1 - p)), 6) AS softmax, round(-(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END + CASE WHEN p < 1 THEN (1 - p) * ln(1 - p) ELSE 0 END) + 0.0, 6) AS entropy FROM p"""
 )
 def fm_softmax_entropy(spark: SparkSession, sf: str) -> DataFrame:
