@@ -223,14 +223,15 @@ class Mixture:
         return np.append(total.ravel(), likely)
 
     @classmethod
-    def fit(cls, gather: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray], starts: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05) -> Mixture:
+    def fit(cls, gather: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray], starts: list[np.ndarray], rounds: int = ROUNDS, floor: float = 0.05, gain: float = 0.01) -> Mixture:
         """Expectation-maximization over all rows, with a component for each group of lines in ``starts``.
 
         ``gather`` adds up what a function gives for parts of the rows.  The groups say where
         the components begin, and take part in the standardization, so that a handful of rows
         is standardized too; nothing holds a component to its group afterwards.  A component
         that less than one row falls to stays where it is.  Variances stay above ``floor`` of
-        the standardized statistics'.
+        the standardized statistics'.  It ends when a round raises the log-likelihood of a row
+        by less than ``gain``.
         """
         own = np.concatenate(starts)
         width = own.shape[1]
@@ -258,7 +259,7 @@ class Mixture:
                 around = square[j] / part[j] - np.outer(c, c)
                 model.spread[j] = (around + around.T) / 2 + floor * eye
             model._prepare()
-            if abs(now - before) < 1e-4:
+            if abs(now - before) < gain:
                 break
             before = now
         return model
