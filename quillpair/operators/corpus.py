@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quillpair.functions.grams import word_pairs
 from quillpair.functions.similarity import divide, equal_places
 from quillpair.functions.text import STOP_WORDS, words
 from quillpair.sources.pairs import question_texts
+from quillpair.sources.shared import drop_table, stage_table
 
 
 def token_counts(texts: DataFrame, column: str = "text", lower: bool = True) -> DataFrame:
@@ -25,18 +28,33 @@ def value_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(token, n, token_id)``: from 2 by falling count, then token; 0 is unknown, 1 padding.
 
-    A place is the tokens with more occurrences, those of the same count with an earlier
-    beginning, and the rank among tokens of one count and beginning.  So no task ranks
-    the vocabulary, or the many tokens that occur once.
+    The counted tokens are sorted over ranges, so no task ranks the many tokens that occur
+    once, or share a beginning; a place is the tokens of earlier ranges and the place within.
+    """
+    counts = stage_table(token_counts(texts, column, lower=False), "token-counts")  # read twice: to sample the ranges, and to be partitioned
+    order = [F.desc("n"), F.asc("token")]
+    sorted_ = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = sorted_.select("token", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    placed = stage_table(placed, "vocabulary")
+    drop_table(counts)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))  # a row for each range
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return placed.join(F.broadcast(before), "part").select("token", "n", (F.col("before") + F.col("at") + 2).alias("token_id"))
+
+
+def join_tokens(rows: DataFrame, table: DataFrame, value: str, head: int = 20_000) -> DataFrame:
+    """``rows`` (token, ...) with ``value`` of ``table`` (token, n, value); null where the table lacks the token.
+
+    Tokens with at least a ``1 / head`` of all occurrences ``n``, of which there are at
+    most ``head``, are broadcast: a word found everywhere sends no rows to one task.
     """
-    counts = token_counts(texts, column, lower=False).withColumn("head", F.substring("token", 1, 3))
-    sizes = counts.groupBy("n", "head").agg(F.count("*").alias("size"))
-    by_count = sizes.groupBy("n").agg(F.sum("size").alias("size"))  # a row for each distinct count
-    more = by_count.select("n", (F.sum("size").over(Window.orderBy(F.desc("n"))) - F.col("size")).alias("more"))
-    earlier = sizes.select("n", "head", (F.sum("size").over(Window.partitionBy("n").orderBy("head")) - F.col("size")).alias("earlier"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("n", "head").orderBy("token")))
-    placed = ranked.join(earlier, ["n", "head"]).join(more, "n")
-    return placed.select("token", "n", (F.col("more") + F.col("earlier") + F.col("r") + 1).alias("token_id"))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") >= max(1, math.ceil(total / head))
+    known = rows.join(F.broadcast(table.filter(frequent).select("token", F.col(value).alias("_head"))), "token", "left")
+    apart = F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))  # no token: spreads rows that look nothing up
+    keyed = known.withColumn("_at", F.when(F.col("_head").isNotNull() | F.col("token").isNull(), apart).otherwise(F.col("token")))
+    rare = table.filter(~frequent).select(F.col("token").alias("_at"), F.col(value).alias("_tail"))
+    return keyed.join(rare, "_at", "left").withColumn(value, F.coalesce("_head", "_tail")).drop("_at", "_head", "_tail")
 
 
 def numerize(texts: DataFrame, key: list[str], column: str, vocab: DataFrame, pad_to: int | None = None) -> DataFrame:
@@ -45,7 +63,7 @@ def numerize(texts: DataFrame, key: list[str], column: str, vocab: DataFrame, pa
     Texts without words have an empty, or all padding, list.
     """
     placed = texts.select(*key, F.posexplode_outer(words(F.col(column))).alias("place", "token"))
-    found = placed.join(vocab.select("token", "token_id"), "token", "left")
+    found = join_tokens(placed, stage_table(vocab.select("token", "n", "token_id"), "vocabulary"), "token_id")
     entry = F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce("token_id", F.lit(0)).alias("id")))
     ids = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.id)
     if pad_to is not None:
@@ -98,9 +116,9 @@ def shared_neighbours(pairs: DataFrame) -> DataFrame:
 
 
 def token_weights(texts: DataFrame, column: str = "text", eps: int = 10_000, least: int = 2) -> DataFrame:
-    """``(token, weight)``: 1 / (occurrences + eps), 0 below ``least`` occurrences; null texts count as ``nan``."""
+    """``(token, n, weight)``: 1 / (occurrences + eps), 0 below ``least`` occurrences; null texts count as ``nan``."""
     counts = token_counts(texts.select(F.coalesce(F.col(column), F.lit("nan")).alias("text")))
-    return counts.select("token", F.when(F.col("n") < least, 0.0).otherwise(1 / (F.col("n") + eps)).alias("weight"))
+    return counts.select("token", "n", F.when(F.col("n") < least, 0.0).otherwise(1 / (F.col("n") + eps)).alias("weight"))
 
 
 def word_shares(pairs: DataFrame, weights: DataFrame, compat: bool = True) -> DataFrame:
@@ -126,7 +144,7 @@ def word_shares(pairs: DataFrame, weights: DataFrame, compat: bool = True) -> Da
     marked = tokens.select("split", "id", "token", F.array_contains("w1", F.col("token")).alias("in1"), F.array_contains("w2", F.col("token")).alias("in2"))
     w = F.col("weight")
     sums = (
-        marked.join(weights, "token", "left")
+        join_tokens(marked, stage_table(weights, "weights"), "weight")
         .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
         .groupBy("split", "id")
         .agg(
