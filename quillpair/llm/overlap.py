@@ -29,7 +29,7 @@ from quillpair.sources.shared import drop_table, stage_table
 
 #: Evaluation questions of one key up to which a shard searches it by itself.
 GROUP = 20_000
-_COLUMNS = ("key", "cls", "fp", "n", "side")
+_COLUMNS = ("key", "cls", "fp", "n", "place", "side")
 
 
 def _searcher(limit: int):
@@ -51,7 +51,7 @@ def _searcher(limit: int):
 
         docs: tuple = ()
         for batch in batches:
-            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(4)]
+            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(5)]
             one = rows[1] >= 0
             rows[1] = rows[1] & ((1 << 63) - 1)
             rows.append(one.astype(np.int64))
@@ -62,7 +62,7 @@ def _searcher(limit: int):
                 continue
             if index is None:
                 build()
-                zero = [np.concatenate([h[k] for h in held]) for k in range(5)] if held else None
+                zero = [np.concatenate([h[k] for h in held]) for k in range(6)] if held else None
                 if len(large):
                     wide = np.isin(zero[0], large)
                     yield found_rows(dict(zip(_COLUMNS, [z[wide] for z in zero], strict=True)), int(wide.sum()))
@@ -72,7 +72,7 @@ def _searcher(limit: int):
                 if wide.any():
                     yield found_rows(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
                 rows = [r[~wide] for r in rows]
-            key, cls, fp, n, _ = rows
+            key, cls, fp, n, _, _ = rows
             mine, theirs, reach = fp.view(np.uint64), docs[1].view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
             for place, document, _ in index.matches(key, cls):
                 bits = np.bitwise_count(mine[place] ^ theirs[document])

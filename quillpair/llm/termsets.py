@@ -16,7 +16,16 @@ hash, then common ones from the least common.  Of near sets
   into the common terms, which stand together in texts of one make.)
 * longer sets share at least 0.4 n - 1 of their pairs of neighbouring terms, as a term
   that only one of them has breaks up at most two pairs; hence one of the first
-  0.6 n + 1 pairs is shared, and these are the keys.
+  0.6 n + 1 pairs is shared, and these are the keys (fewer for sets of at most ``SHORT``
+  terms, which only need those shared with longer ones).
+
+Places: of the keys that two near sets share, the first one tells how many terms the
+sets can still share.  If it stands behind u terms that are not shared, a set of n terms
+shares at most n - u, so sets whose keys stand too far behind for their sizes are not
+compared under that key (:func:`partners`).  This is what bounds the work at keys of
+common terms: most of their sets stand there because no uncommon term is shared, and few
+are so near otherwise.  Two sets of at most ``SHORT`` terms meet at their short keys, so
+keys of neighbours only bring together sets of which one is longer.
 
 Which terms are common only steers the work; any choice gives the same result.  They
 are counted over all texts; at most 2 * (mean terms) / ``COMMON_SHARE`` terms qualify,
@@ -113,6 +122,28 @@ def radius(n: np.ndarray) -> np.ndarray:
     return n * (DEN - NUM) // NUM
 
 
+def _unshared(n: np.ndarray, m: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Most places of a set of n terms before the first key that it shares with a near set of m terms."""
+    need = -(-NUM * (n + m) // (NUM + DEN))
+    # a pair of neighbours is broken by a term that only this set has (two pairs at most), or that only the other has (one)
+    return np.where(long, 2 * n + m - 3 * need, n - need)
+
+
+def partners(n: np.ndarray, place: np.ndarray, smaller: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most terms of the sets that an entry of n terms at ``place`` may be near to; with ``smaller`` at most n."""
+    long = place < 0
+    low = np.where(long & (n <= SHORT), np.maximum(-(-NUM * n // DEN), SHORT + 1), -(-NUM * n // DEN))
+    high = n if smaller else n * DEN // NUM
+    return low, np.where(long, high, np.minimum(high, ((NUM + DEN) * (n - place) - NUM * n) // NUM))
+
+
+def reachable(n: np.ndarray, place: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Last place, without its sign, at which a set of m terms may share its first key with an entry of n terms at ``place``; negative if none."""
+    long = place < 0
+    most = _unshared(m, n, long)
+    return np.where(np.where(long, -1 - place, place) <= _unshared(n, m, long), most, -1)
+
+
 def _distinct_rows(batch: pa.RecordBatch, seen: set[int]) -> list[str]:
     fresh = []
     for cls, canon in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -125,7 +156,11 @@ def _distinct_rows(batch: pa.RecordBatch, seen: set[int]) -> list[str]:
 
 
 def _keys_of(canon: list[str], rank: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """``(row, place, key)`` of the keys in order, and ``(n, fingerprint)`` of each set."""
+    """``(row, place, key)`` of the keys in order, and ``(n, fingerprint)`` of each set.
+
+    ``place`` counts the terms before the key that are not shared if it is the first key shared: of
+    two common terms all before the second but the first.  For pairs of neighbours it is -1 - the number of pairs before.
+    """
     split = [c.split(" ") for c in canon]
     n = np.fromiter(map(len, split), np.int64, len(split))
     codes, terms = pd.factorize(np.array([t for s in split for t in s], dtype=object))
@@ -143,24 +178,25 @@ def _keys_of(canon: list[str], rank: dict[str, int]) -> tuple[np.ndarray, ...]:
     first = size - -(-NUM * size // DEN) + 1
     rows, places, keys = [], [], []
 
-    def add(sel: np.ndarray, key: np.ndarray) -> None:
+    def add(sel: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
         rows.append(row[sel])
-        places.append(place[sel])
+        places.append(at)
         keys.append(key)
 
     short = size <= SHORT
     sel = np.flatnonzero(short & ~hot & (place < first))
-    add(sel, h[sel])
+    add(sel, place[sel], h[sel])
     reach = np.flatnonzero(short & hot & (place < first + 1))
     owner, hashes = row[reach], h[reach]
     for step in range(1, SHORT):  # pairs of common terms, which stand together, `step` places apart
         i = np.flatnonzero(owner[:-step] == owner[step:])
         if not len(i):
             break
-        add(reach[i], hashes[i] * _MIX + hashes[i + step])
+        add(reach[i], place[reach[i]] + step - 1, hashes[i] * _MIX + hashes[i + step])
     long = size * DEN > NUM * SHORT
-    sel = np.flatnonzero(long[:-1] & (row[:-1] == row[1:]) & (DEN * place[:-1] < 2 * (DEN - NUM) * size[:-1] + DEN))
-    add(sel, (h[sel] * _MIX + h[sel + 1]) ^ _MIX)
+    other = np.where(short, SHORT + 1, -(-NUM * size // DEN))  # the size of near sets that leaves the most places
+    sel = np.flatnonzero(long[:-1] & (row[:-1] == row[1:]) & ((NUM + DEN) * place[:-1] <= (2 * DEN - NUM) * size[:-1] - (2 * NUM - DEN) * other[:-1]))
+    add(sel, -1 - place[sel], (h[sel] * _MIX + h[sel + 1]) ^ _MIX)
     return np.concatenate(rows), np.concatenate(places), np.concatenate(keys).view(np.int64), n, fp.view(np.int64)
 
 

@@ -222,6 +222,50 @@ def test_backward_index_gives_each_maximal_match_once():
     assert got == want
 
 
+def one_make(count, size=13, rare=3, seed=3):
+    """Texts of one make, which differ in their uncommon terms, and some near copies."""
+    rng = random.Random(seed)
+    base = " ".join(f"make{k}" for k in range(size - rare))
+    texts = [" ".join([base, *(f"u{rng.randrange(10**6)}" for _ in range(rare))]) for _ in range(count)]
+    return texts + [t + " more" for t in texts[:5]] + [base, base + " u1"]
+
+
+def entries_of(texts):
+    """Key entries of the texts, all terms of ``one_make`` being common, and their sets."""
+    sets = sorted({" ".join(sorted(set(t.split()))) for t in texts})
+    row, place, key, n, fp = termsets._keys_of(sets, {f"make{k}": k for k in range(80)})
+    return sets, [key, row, fp[row], n[row], place.astype(np.int64)]
+
+
+@pytest.mark.parametrize(("size", "rare"), [(13, 3), (17, 3), (50, 6), (66, 12), (90, 20)])
+def test_positions_lose_nothing_and_bound_the_pairs(monkeypatch, size, rare):
+    """Texts of one make share their common keys; only those that sizes and places allow are compared."""
+    sets, (key, row, fp, n, place) = entries_of(one_make(300, size, rare))
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if brute.near(sets[a].split(), sets[b].split())}
+    compared = Counter()
+    spans = neighbours._spans
+
+    def counted(*args):
+        for x, y in spans(*args):
+            compared["n"] += len(x)
+            yield x, y
+
+    monkeypatch.setattr(neighbours, "_spans", counted)
+    a, b = neighbours._compare(key, row, fp, n, np.full(len(key), -1), np.ones(len(key), np.int64), place)
+    got = {(x, y) for x, y in zip(a.tolist(), b.tolist()) if brute.near(sets[x].split(), sets[y].split())}
+    assert got == want and want
+    if size == 13:  # 45,000 pairs share the key of the make's first two terms
+        assert compared["n"] < 20 * len(key)
+
+
+@pytest.mark.parametrize("limit", [60_000, 30])
+def test_near_pairs_of_one_make(spark, limit):
+    texts = one_make(120) + one_make(60, 66, 12) + one_make(40, 50, 6)
+    frame = spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+    got = {(r.qid_a, r.qid_b) for r in neighbours.near_pairs(frame, "qid", "text", limit).collect()}
+    assert got == brute.p7(dict(enumerate(texts))) and got
+
+
 @pytest.mark.parametrize(("limit", "share"), [(20_000, 1 / 2000), (3, 1 / 40)])
 def test_overlapping_records(spark, monkeypatch, limit, share):
     monkeypatch.setattr(termsets, "COMMON_SHARE", share)
