@@ -80,6 +80,11 @@ class BackwardIndex:
         hi = self.begin[known] + np.searchsorted(self.places, base + high) - first
         return lo, np.where(code < 0, lo, hi)
 
+    def followed(self, code: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two steps backwards: the ranges of each symbol followed by any of the symbols from ``least`` to ``most``."""
+        low, high = self.begin[np.searchsorted(self.alphabet, least)], self.begin[np.searchsorted(self.alphabet, most, side="right")]
+        return self.extend(code, low, high)
+
     def matches(self, symbols: np.ndarray, patterns: np.ndarray, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(place in symbols, document, 1 or more)``: right ends of maximal matches of the patterns.
 

@@ -1,11 +1,13 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
 The questions of the evaluation splits become sequences of keys
-(:mod:`quillpair.llm.termsets`), in the order of their terms.  Keys are spread over
-shards; each shard builds a backward-searched index of its evaluation sequences and
-then streams the training sequences through it.  A maximal match names an evaluation
-question that shares a run of keys; matches of a pair of questions are merged,
-compared by fingerprint and checked on the whole term sets.
+(:mod:`quillpair.llm.termsets`), in the order of their terms, each key followed by a
+symbol for the size of the set and the key's place.  Keys are spread over shards; each
+shard builds a backward-searched index of its evaluation sequences and then streams the
+training sequences through it.  A training key is searched with the range of symbols
+that its own size and place allow behind it, so that only questions come out which can
+still be near; these are compared by fingerprint, merged and checked on the whole term
+sets.
 
 Pairs of records are put together from near questions.  A question may stand in a
 third of all records, so each training record is looked up by that of its two
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillpair.llm.fmindex import BackwardIndex
-from quillpair.llm.neighbours import FOUND, candidate_pairs, found_rows
-from quillpair.llm.termsets import common_terms, near, radius, set_keys, term_sets, within
+from quillpair.llm.neighbours import FOUND, _spans, candidate_pairs, found_rows
+from quillpair.llm.termsets import common_terms, near, partners, reachable, set_keys, term_sets, within
 from quillpair.sources.shared import drop_table, stage_table
 
 #: Evaluation questions of one key up to which a shard searches it by itself.
@@ -32,24 +34,50 @@ GROUP = 20_000
 _COLUMNS = ("key", "cls", "fp", "n", "place", "side")
 
 
+class _Shard:
+    """Index of evaluation rows: sequences of keys, each followed by a symbol for its set's size and its place."""
+
+    def __init__(self, key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray):
+        self.document, first, owner = np.unique(cls, return_index=True, return_inverse=True)
+        self.fp, self.n = fp[first].view(np.uint64), n[first]
+        symbols = np.stack([key, (n << 32) + np.where(place < 0, -1 - place, place)], axis=1)
+        self.index = BackwardIndex(symbols.ravel(), np.repeat(owner, 2))
+        self.sizes = int(n.max(initial=0)) + 1
+        self.held = np.unique(self.index.codes(key) * self.sizes + n)  # sizes of each key's sets
+
+    def search(self, key: np.ndarray, cls: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct ``(evaluation set, training set)`` within the fingerprints' bound, of those that sizes and places allow under a key."""
+        code = self.index.codes(key)
+        known = np.flatnonzero(code >= 0)
+        code, cls, u, n, place = code[known], cls[known], fp[known].view(np.uint64), n[known], place[known]
+        low, high = partners(n, place)
+        base = code * self.sizes
+        low, high = np.searchsorted(self.held, base + np.minimum(low, self.sizes)), np.searchsorted(self.held, base + np.minimum(high, self.sizes - 1), side="right")
+        for x, at in _spans(low, high, block):
+            m = self.held[at] % self.sizes
+            most = reachable(n[x], place[x], m)
+            x, m, most = x[most >= 0], m[most >= 0], most[most >= 0]
+            for k, suffix in _spans(*self.index.followed(code[x], m << 32, (m << 32) + most), block):
+                document, y = self.index.owner[suffix], x[k]
+                close = np.bitwise_count(u[y] ^ self.fp[document]) <= within(n[y], m[k])
+                if close.any():
+                    pair = np.unique(np.stack([self.document[document[close]], cls[y[close]]]), axis=1)
+                    yield pair[0], pair[1]
+
+
 def _searcher(limit: int):
     """Index of the evaluation rows, which come first; training rows are streamed through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        index = large = None
-
-        def build() -> None:
-            nonlocal index, large, docs
-            key, cls, fp, n = (np.concatenate([h[k] for h in held]) if held else np.empty(0, np.int64) for k in range(4))
-            values, count = np.unique(key, return_counts=True)
-            large = values[count > limit]
-            keep = ~np.isin(key, large)
-            document, first = np.unique(cls, return_index=True)
-            docs = (document, fp[first], n[first])
-            index = BackwardIndex(key[keep], np.searchsorted(document, cls[keep]))
-
-        docs: tuple = ()
+        shard = None
+        large = np.empty(0, np.int64)
+
+        def through(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            wide = np.isin(rows[0], large)
+            if wide.any():
+                yield found_rows(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
+
         for batch in batches:
             rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(5)]
             one = rows[1] >= 0
@@ -60,28 +88,18 @@ def _searcher(limit: int):
             rows = [r[one] for r in rows]
             if not len(rows[0]):
                 continue
-            if index is None:
-                build()
-                zero = [np.concatenate([h[k] for h in held]) for k in range(6)] if held else None
-                if len(large):
-                    wide = np.isin(zero[0], large)
-                    yield found_rows(dict(zip(_COLUMNS, [z[wide] for z in zero], strict=True)), int(wide.sum()))
+            if shard is None:
+                zero = [np.concatenate([h[k] for h in held]) if held else np.empty(0, np.int64) for k in range(6)]
+                values, count = np.unique(zero[0], return_counts=True)
+                large = values[count > limit]
+                yield from through(zero)
+                keep = ~np.isin(zero[0], large)
+                shard = _Shard(*(z[keep] for z in zero[:5]))
                 held = []
             if len(large):
-                wide = np.isin(rows[0], large)
-                if wide.any():
-                    yield found_rows(dict(zip(_COLUMNS, [r[wide] for r in rows], strict=True)), int(wide.sum()))
-                rows = [r[~wide] for r in rows]
-            key, cls, fp, n, _, _ = rows
-            mine, theirs, reach = fp.view(np.uint64), docs[1].view(np.uint64), np.minimum(radius(n), 64).astype(np.uint8)
-            for place, document, _ in index.matches(key, cls):
-                bits = np.bitwise_count(mine[place] ^ theirs[document])
-                some = np.flatnonzero(bits <= reach[place])  # few are left for the exact bound
-                place, document = place[some], document[some]
-                close = bits[some] <= within(n[place], docs[2][document])
-                pair = np.unique(np.stack([docs[0][document[close]], cls[place[close]]]), axis=1)
-                if pair.shape[1]:
-                    yield found_rows({"a": pair[0], "b": pair[1]}, pair.shape[1])
+                yield from through(rows)
+            for a, b in shard.search(*rows[:5]):
+                yield found_rows({"a": a, "b": b}, len(a))
 
     return run
 
@@ -92,7 +110,7 @@ def candidate_links(evaluation: DataFrame, training: DataFrame, limit: int = GRO
     low = F.lit(-(1 << 63))
     mark = F.when(F.col("side") == 0, F.col("cls").bitwiseOR(low)).otherwise(F.col("cls"))
     both = evaluation.unionByName(training).select("key", mark.alias("cls"), "fp", "n", "place")
-    found = both.repartition("key").sortWithinPartitions("cls", "place").mapInArrow(_searcher(limit), FOUND)
+    found = both.repartition("key").sortWithinPartitions("cls", "place", "key").mapInArrow(_searcher(limit), FOUND)
     found = stage_table(found, "links")
     pairs = found.filter("a IS NOT NULL").select("a", "b")
     over = found.filter("a IS NULL")

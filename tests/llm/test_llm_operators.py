@@ -258,6 +258,27 @@ def test_positions_lose_nothing_and_bound_the_pairs(monkeypatch, size, rare):
         assert compared["n"] < 20 * len(key)
 
 
+@pytest.mark.parametrize(("size", "rare"), [(13, 3), (17, 3), (50, 6), (66, 12), (90, 20)])
+def test_shard_searches_lose_nothing(monkeypatch, size, rare):
+    texts, other = one_make(200, size, rare, 3), one_make(200, size, rare, 4) + one_make(20, size, rare, 3)
+    (e_sets, e), (t_sets, t) = entries_of(other), entries_of(texts)
+    want = {(a, b) for a in range(len(e_sets)) for b in range(len(t_sets)) if brute.near(e_sets[a].split(), t_sets[b].split())}
+    compared = Counter()
+    spans = overlap._spans
+
+    def counted(*args):
+        for x, y in spans(*args):
+            compared["n"] += len(x)
+            yield x, y
+
+    monkeypatch.setattr(overlap, "_spans", counted)
+    e, t = ([c[np.lexsort((x[0], x[4], x[1]))] for c in x] for x in (e, t))
+    found = {(x, y) for a, b in overlap._Shard(*e).search(*t, block=500) for x, y in zip(a.tolist(), b.tolist())}
+    assert {(x, y) for x, y in found if brute.near(e_sets[x].split(), t_sets[y].split())} == want and want
+    if size == 13:  # 40,000 pairs share the key of the make's first two terms
+        assert compared["n"] < 20 * len(t[0])
+
+
 @pytest.mark.parametrize("limit", [60_000, 30])
 def test_near_pairs_of_one_make(spark, limit):
     texts = one_make(120) + one_make(60, 66, 12) + one_make(40, 50, 6)
