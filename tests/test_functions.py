@@ -192,3 +192,27 @@ def test_lemmas():
 def test_tags():
     tags = dict(tagger.tag_words("How can I read the old books in Berlin".split()))
     assert tags["How"] == "WRB" and tags["books"] == "NNS" and tags["Berlin"] == "NNP" and tags["can"] == "MD"
+
+
+def test_compression_of_short_texts_clears_no_large_dictionary():
+    """Sizes are those of the defaults; 300 short texts take far less than 300 default calls."""
+    import lzma
+    import random
+    import time
+
+    rng = random.Random(3)
+    texts = ["", "a", "é" * 900, "ab" * 2_048, "ab" * 2_049, *("".join(rng.choice("ab é?") for _ in range(rng.randrange(4_200))) for _ in range(40))]
+    assert [edit._compressed(t.encode()) for t in texts] == [len(lzma.compress(t.encode())) for t in texts]
+    size = lambda t: len(lzma.compress(t.encode()))
+    a, b = "how do I cook rice", "how can I cook brown rice"
+    assert edit.compression_ratio(a, b) == 1 - (min(size(a + b), size(b + a)) - min(size(a), size(b))) / max(size(a), size(b))
+    assert edit.compression_ratio("", a) == 1 - (size(a) - size("")) / size(a)
+    pairs = [(f"what is the number {k}", f"which number is {k * 7} of them") for k in range(100)]
+    began = time.process_time()
+    for x, y in pairs:
+        edit.compression_ratio(x, y)
+    took = time.process_time() - began
+    began = time.process_time()
+    for x, y in pairs:
+        [size(t) for t in (x, y, x + y, y + x)]
+    assert took < (time.process_time() - began) / 2
