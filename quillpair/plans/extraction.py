@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillpair.functions.text import view
 from quillpair.operators import features
 from quillpair.sources.io import choose, read_matrix, write_matrix
+from quillpair.sources.shared import drop_table
 
 #: Extractors by name: pairs in a view, and the view's name as prefix.
 EXTRACTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
@@ -37,18 +38,24 @@ def extract(pairs: DataFrame, folder: str, views: str, extractors: str) -> DataF
     return pairs.sparkSession.createDataFrame(done, "view string, extractor string, path string")
 
 
-def extract_vectors(pairs: DataFrame, folder: str, views: str, tables: dict[str, DataFrame], size: int) -> DataFrame:
-    """The same for features of word vectors: each view with each of ``tables`` (word, vec) by name."""
-    from quillpair.operators.embed import vector_features
+def extract_vectors(pairs: DataFrame, folder: str, views: str, names: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The same for features of word vectors: each view with each of ``tables`` (vec_id, vec) by name.
+
+    ``names`` (word, vec_id) holds the words' vectors by number, in all tables.
+    """
+    from quillpair.operators.embed import block_vector_features, in_blocks
 
     done = []
     for v in (n.strip() for n in views.split(",") if n.strip()):
         change = view(v)
         changed = pairs.withColumns({q: change(F.col(q)) for q in ("question1", "question2")})
+        blocks, known = in_blocks(changed, names)
         for name, vecs in tables.items():
             path = f"{folder}/{v}_{name}"
-            write_matrix(vector_features(changed, vecs, size, f"{v}_{name}"), path)
+            write_matrix(block_vector_features(blocks, known, vecs, f"{v}_{name}"), path)
             done.append((v, name, path))
+        drop_table(blocks)
+        drop_table(known)
     return pairs.sparkSession.createDataFrame(done, "view string, extractor string, path string")
 
 

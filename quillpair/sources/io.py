@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillpair.functions.vectors import unit
+from quillpair.sources.shared import shuffles_removed
 
 PAIR_SCHEMA = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("qid1", T.LongType()), T.StructField("qid2", T.LongType())]
@@ -34,7 +35,8 @@ def preview(rows: DataFrame, key: str, n: int = 100) -> DataFrame:
 
 def write_matrix(rows: DataFrame, path: str) -> None:
     """Feature matrix as parquet."""
-    rows.write.mode("overwrite").parquet(path)
+    with shuffles_removed(rows.sparkSession):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_matrix(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

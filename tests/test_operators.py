@@ -123,6 +123,32 @@ def test_sentence_vectors(spark):
     assert got["a b"] == pytest.approx([4 / 3, 4 / 3]) and got["z"] == got[""] == [0, 0] and got["a a"] == pytest.approx([2 / 3, 2 / 3])
 
 
+def test_vectors_by_block_agree_and_leave_no_shuffles(spark, monkeypatch):
+    """Sums of vectors made in blocks of pairs give the features of joined vectors; shuffles of what is written are gone."""
+    import glob
+
+    from quillpair.plans.extraction import extract_vectors
+
+    monkeypatch.setattr(embed, "BLOCK", 3)
+    monkeypatch.setattr(embed, "CHUNK", 2)
+    rng = np.random.default_rng(4)
+    names = spark.createDataFrame([(f"w{k}", k % 5) for k in range(12)] + [("lost", 99)], "word string, vec_id long")
+    vecs = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(5)], "vec_id long, vec array<float>")
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 16, rng.integers(1, 6)))
+    rows = spark.createDataFrame([("train", k, text(), text()) for k in range(9)] + [("test", 1, None, "w1 \t w1"), ("test", 2, "", "zz lost"), ("test", 3, "w3 w2", "w2 w3")], PAIRS)
+    want = embed.vector_features(rows, names.join(vecs, "vec_id").select("word", "vec"), 4, "x").orderBy("split", "id").collect()
+    blocks, known = embed.in_blocks(rows, names)
+    got = embed.block_vector_features(blocks, known, vecs, "x").orderBy("split", "id").collect()
+    assert got[0].asDict().keys() == want[0].asDict().keys() and len(got) == len(want) == 12
+    assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6) for g, w in zip(got, want, strict=True))
+    jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f for d in jvm.blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    written = extract_vectors(rows, f"file://{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/vectors-by-block", "tokenize", names, {"plain": vecs, "unit": embed.unit_vectors(vecs)})
+    assert not files() - before
+    assert written.count() == 2
+
+
 def test_transport_and_movers():
     rng = np.random.default_rng(1)
     for _ in range(60):
