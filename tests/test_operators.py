@@ -1,6 +1,7 @@
 """Corpus, feature, matrix, spelling, vector and model operators on small tables."""
 
 import itertools
+import os
 from collections import Counter
 
 import numpy as np
@@ -231,6 +232,34 @@ def test_latent_words_take_rare_words(spark, tmp_path):
     assert by_id(entry.queries()["fe_latent_words"](spark, str(tmp_path)), "words_tfidf_lsa_cosine")[9_999] == 1
 
 
+def test_latent_grams_have_a_number_each():
+    """One- to three-grams get one number each, of one text only, and are made in no join."""
+    texts = ["abcab", "", "é a", "ab c", "z"]
+    for kind, items in (("chars", list), ("words", str.split)):
+        gram, row = lsa.one_to_three(*lsa._codes(texts, kind), kind)
+        want = [(k, tuple(x[i : i + n])) for n in (1, 2, 3) for k, x in enumerate(map(items, texts)) for i in range(len(x) - n + 1)]
+        assert row.tolist() == [k for k, _ in want]
+        assert len(set(zip(gram.tolist(), (g for _, g in want), strict=True))) == len(set(gram.tolist())) == len({g for _, g in want})
+
+
+def test_latent_words_leave_no_shuffles_of_grams(spark):
+    """What the fit wrote to shuffles is gone before its result is read."""
+    import glob
+
+    jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    size = lambda: sum(os.path.getsize(f) for d in jvm.blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/*/shuffle_*.data"))
+    rows = spark.createDataFrame([("train", k, " ".join(f"w{k * i % 997}" for i in range(1, 30)), f"w{k} x y") for k in range(300)], PAIRS)
+    before = size()
+    out = lsa.latent_cosine(rows, "words", components=5)
+    assert size() - before < 100_000
+    assert out.count() == 300
+
+
+def test_latent_words_of_blank_texts(spark):
+    rows = spark.createDataFrame([("train", 1, " ", None), ("train", 2, "?", "")], PAIRS)
+    assert by_id(lsa.latent_cosine(rows, "words", components=5), "words_tfidf_lsa_cosine") == {1: 0, 2: 0}
+
+
 def model_rows(spark):
     rng = np.random.default_rng(3)
     data = [(i, int(x + 0.3 * e > 0), float(x), float(z), i % 3) for i, (x, z, e) in enumerate(rng.normal(size=(240, 3)))]
