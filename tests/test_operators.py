@@ -1,6 +1,7 @@
 """Corpus, feature, matrix, spelling, vector and model operators on small tables."""
 
 import itertools
+import math
 import os
 from collections import Counter
 
@@ -163,6 +164,23 @@ def test_transport_and_movers():
     assert embed.movers_distance(["a"], ["z"], known) == 100
 
 
+def test_movers_of_repeated_and_shared_words(monkeypatch):
+    """Only what differs is transported, with unequal masses, as by all assignments of repeated words."""
+    rng = np.random.default_rng(6)
+    known = {w: rng.normal(size=3) for w in "abcdefg"}
+    sizes = []
+    plain = embed.transport
+    monkeypatch.setattr(embed, "transport", lambda p, q, cost: sizes.append(cost.shape) or plain(p, q, cost))
+    for m, n in [(2, 4), (3, 6), (3, 3), (2, 6), (6, 2), (1, 5), (5, 5)] * 8:
+        a, b = (rng.choice(list(known), k).tolist() for k in (m, n))
+        k = math.lcm(m, n)
+        x, y = np.repeat(a, k // m), np.repeat(b, k // n)
+        least = min(sum(float(np.linalg.norm(known[s] - known[y[t]])) for s, t in zip(x, o, strict=True)) for o in itertools.permutations(range(k))) / k
+        assert embed.movers_distance(a, b, known) == pytest.approx(least)
+    sizes.clear()
+    assert embed.movers_distance(list("abcd"), list("abef"), known) > 0 and sizes == [(2, 2)]
+
+
 def test_movers_features(spark):
     vecs = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [3.0, 5.0])], "word string, vec array<double>")
     rows = spark.createDataFrame([("train", 1, "a", "b"), ("train", 2, None, "a")], PAIRS)
